@@ -189,8 +189,9 @@ VERDICT = "chunk int, shard int, bits binary"
 class Router:
     """The three steps around an operator's resolve(shard rows) -> verdict bits."""
 
-    def __init__(self, docs: DataFrame, kind: Kind, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES):
-        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, kind: Kind, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, carry: list[str] = []):
+        """carry: columns that travel along with the texts, as c0, c1, ..."""
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.kind, self.shards = kind, bins_for(total, shard_bytes)
         self.docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(bins_for(total, chunk_bytes))).cast("int"))

@@ -30,7 +30,7 @@ from .passages import Kind, Router, byte_powers, gram_hashes
 WINDOW = 20
 GRAM = 8
 PATTERNS = 50_000
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def word_hashes(items: list, units: list) -> np.ndarray:
@@ -123,18 +123,21 @@ def resolve(rows: list[tuple[list[bytes], np.ndarray, np.ndarray]], window: int
     return out
 
 
-def finish(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
-    rows = []
-    for text, mask in zip(texts, masks, strict=True):
-        words = text.split()
-        kept = words if mask is None else [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
-        joined = b" ".join(kept)
-        rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), None if mask is None else joined.decode("utf-8")))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-    return pa.table([pa.array(t["doc_id"].to_pylist(), pa.int64()), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+def _finisher(with_text: bool):
+    def finish(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
+        rows = []
+        for text, mask in zip(texts, masks, strict=True):
+            words = text.split()
+            kept = words if mask is None else [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
+            joined = b" ".join(kept)
+            rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *([joined.decode("utf-8")] if with_text else [])))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * (3 + with_text)
+        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=False)]
+        return pa.table([pa.array(t["doc_id"].to_pylist(), pa.int64()), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
+    return finish
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = passages.CHUNK_BYTES, shard_bytes: int = passages.SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept); kept holds the words that stay, joined by spaces, where some go."""
-    return Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes).removed(resolve, finish, OUT)
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk_bytes: int = passages.CHUNK_BYTES, shard_bytes: int = passages.SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) and with_text also kept, the words that stay joined by spaces."""
+    return Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes).removed(resolve, _finisher(with_text), OUT + (", kept string" if with_text else ""))

@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import passages
 from .common import U64
@@ -30,7 +31,7 @@ WINDOW = 50
 GRAM = 20
 BLOCK_BYTES = 4 << 20
 STEP = 7
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def byte_symbols(items: list, units: list) -> np.ndarray:
@@ -177,25 +178,45 @@ def resolve(rows: list[tuple[list[bytes], np.ndarray, np.ndarray]], window: int
     return out
 
 
-def finish(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
+def whole_characters(text: bytes, gone: np.ndarray) -> bytes:
+    """What stays, with every character of which any byte stays."""
+    data = np.frombuffer(text, np.uint8)
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    some = np.zeros(int(char[-1]) + 1, bool)
+    some[char[~gone]] = True
+    return data[some[char]].tobytes()
+
+
+def digests(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
     rows = []
     for text, gone in zip(texts, masks, strict=True):
         if gone is None:
-            rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), None))
+            rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
             continue
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-        lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # first bytes of characters
-        # whole characters stay where any of their bytes stays
-        char = np.cumsum(lead) - 1
-        some = np.zeros(int(char[-1]) + 1, bool)
-        some[char[~gone]] = True
-        rows.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), np.frombuffer(text, np.uint8)[some[char]].tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-    return pa.table([pa.array(t["doc_id"].to_pylist(), pa.int64()), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = passages.CHUNK_BYTES, shard_bytes: int = passages.SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept); kept is what stays in whole characters, where some bytes go."""
-    return Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes).removed(resolve, finish, OUT)
+        rows.append((len(text), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])), hashlib.sha256(kept).hexdigest()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+    return pa.table([pa.array(t["doc_id"].to_pylist(), pa.int64()), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = passages.CHUNK_BYTES, shard_bytes: int = passages.SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    return Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes).removed(resolve, digests, OUT)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", chunk_bytes: int = passages.CHUNK_BYTES, shard_bytes: int = passages.SHARD_BYTES) -> DataFrame:
+    """The rows of docs without their repeated spans (in whole characters); chars_col, where there is one, is counted anew."""
+    types = dict(docs.dtypes)
+    carry = [c for c in docs.columns if c != text_col]
+    schema = ", ".join(["doc_id long", "text string", *(f"c{i} {types[c]}" for i, c in enumerate(carry))])
+
+    def finish(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
+        kept = [x if gone is None else whole_characters(x, gone).decode("utf-8") for x, gone in zip(t["text"].to_pylist(), masks, strict=True)] if len(t) else []
+        return pa.table([t["doc_id"], pa.array(kept, pa.string()), *(t[f"c{i}"] for i in range(len(carry)))], names=["doc_id", "text", *(f"c{i}" for i in range(len(carry)))])
+
+    found = Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes, carry).removed(resolve, finish, schema)
+    of = {c: F.col(f"c{i}") for i, c in enumerate(carry)} | {text_col: F.col("text")}
+    if chars_col in carry:
+        of[chars_col] = F.length("text").cast(types[chars_col])
+    return found.select(*[of[c].alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import phrases, suffixes
 from tests.llm.test_text_ops import ODD, frame
@@ -71,11 +72,11 @@ def spliced(seed, n=60):
 
 
 def got_phrases(df, **k):
-    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(df, **k).drop("kept").collect()), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.repeats(df, **k).collect()), key=str)
 
 
 def got_bytes(df, **k):
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(df, **k).drop("kept").collect()), key=str)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(df, **k).collect()), key=str)
 
 
 @pytest.mark.parametrize("size", [(1 << 21, 1 << 22), (4000, 6000)])
@@ -100,10 +101,12 @@ def test_empty(spark):
 def test_kept_text(spark):
     long = "é" * 60 + " tail one"
     rows = [(1, long), (2, "x" + "é" * 60 + " tail two"), (3, "other")]
-    kept = {r.doc_id: r.kept for r in suffixes.without_repeats(frame(spark, rows)).collect()}
-    assert kept[1] is None and kept[3] is None and bytes(kept[2]).decode() == "xtwo"
+    df = frame(spark, rows).withColumn("n_chars", F.lit(5)).withColumn("c0", F.lit("c"))
+    got = suffixes.without_repeats(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: (long, 69), 2: ("xtwo", 4), 3: ("other", 5)}
     words = [(1, " ".join(f"a{i}" for i in range(25))), (2, "before " + " ".join(f"a{i}" for i in range(25)) + " after")]
-    assert {r.doc_id: r.kept for r in phrases.without_repeats(frame(spark, words)).collect()} == {1: None, 2: "before after"}
+    assert {r.doc_id: r.kept for r in phrases.repeats(frame(spark, words), with_text=True).collect()} == {1: words[0][1], 2: "before after"}
 
 
 def test_suffix_array_and_prefixes():
