@@ -212,7 +212,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = ", ".join(["doc_id long", "text string", *(f"c{i} {types[c]}" for i, c in enumerate(carry))])
 
     def finish(ids, texts: list[bytes], masks: list, t: pa.Table) -> pa.Table:
-        kept = [x if gone is None else whole_characters(x, gone).decode("utf-8") for x, gone in zip(t["text"].to_pylist(), masks, strict=True)] if len(t) else []
+        kept = [raw if gone is None else whole_characters(x, gone).decode("utf-8") for raw, x, gone in zip(t["text"].to_pylist(), texts, masks, strict=True)]
         return pa.table([t["doc_id"], pa.array(kept, pa.string()), *(t[f"c{i}"] for i in range(len(carry)))], names=["doc_id", "text", *(f"c{i}" for i in range(len(carry)))])
 
     found = Router(docs, KIND, id_col, text_col, chunk_bytes, shard_bytes, carry).removed(resolve, finish, schema)
