@@ -1 +1,366 @@
-Q, SQL = {}, {}
+"""Queries of the table operators on stand-in data, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunking, corpus, faq, layout
+from .queries_text import FP_SQL, LINES_SQL, lines, table
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+ATOMS = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+PARTS = f"CASE WHEN len({ATOMS}) = 0 THEN [] ELSE list_reduce(list_prepend([]::VARCHAR[], list_transform({ATOMS}, lambda a: [a])), lambda s, a: CASE WHEN len(s) > 0 AND length(s[-1]) + 2 + length(a[1]) <= 2000 THEN list_append(s[1:-2], s[-1] || chr(10) || chr(10) || a[1]) ELSE list_append(s, a[1]) END) END"
+CHUNKS = f"(SELECT doc_id, source || '-' || doc_id || ' | ~preamble' AS unit_key, len(ps)::INT AS part_count, unnest(range(1, len(ps) + 1))::INT AS part, unnest(ps) AS content FROM (SELECT doc_id, source, {PARTS} AS ps FROM documents))"
+
+
+@query(f"SELECT concat_ws('_', doc_id, substr(sha256(unit_key), 1, 16), part) AS chunk_id, doc_id, unit_key, part, part_count, length(content)::INT AS length, length(content) > 2000 AS exceeds_limit, content FROM {CHUNKS}")
+def b07_b08_b09_chunk_documents(spark, sf):
+    return chunking.chunk_documents(table(spark, sf, "documents"))
+
+
+@query("""WITH u AS (SELECT o_custkey AS doc_id, o_orderkey AS unit_ord, [o_orderpriority, 'u' || (o_orderkey % 3)] AS path FROM orders),
+    s AS (SELECT doc_id, unit_ord, path[2] AS one, path[1] || ' > ' || path[2] AS full_path FROM u),
+    c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, one) AS n FROM s), b AS (SELECT doc_id, unit_ord, CASE WHEN n = 1 THEN one ELSE full_path END AS suffix FROM c)
+    SELECT doc_id, unit_ord, 'REG-' || doc_id || ' | ' || suffix || CASE WHEN row_number() OVER w > 1 THEN ' #' || row_number() OVER w ELSE '' END AS unit_key FROM b WINDOW w AS (PARTITION BY doc_id, suffix ORDER BY unit_ord)""")
+def b05_b06_unit_keys(spark, sf):
+    u = table(spark, sf, "orders").select(F.concat(F.lit("REG-"), "o_custkey").alias("series"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_ord"), F.array(chunking.segment(F.lit(None).cast("string"), F.col("o_orderpriority")), F.concat(F.lit("u"), (F.col("o_orderkey") % 3).cast("string"))).alias("path"))
+    return chunking.unit_keys(u).select("doc_id", "unit_ord", "unit_key")
+
+
+@query("SELECT r_name AS title, coalesce(nullif(trim(CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE 'N-' || n_nationkey END), ''), n_name) AS citation, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'N-' || n_nationkey END AS series FROM nation JOIN region ON n_regionkey = r_regionkey")
+def b03_b17_header_and_citation(spark, sf):
+    d = F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")))
+    printed = F.coalesce(F.nullif(F.trim(d), F.lit("")), "n_name")
+    return table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("title"), printed.alias("citation"), "n_nationkey", printed.alias("series"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def b04_unit_collection(spark, sf):
+    c = table(spark, sf, "customer")
+    leaf = c.join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return c.where("c_acctbal > 0").select("c_custkey").union(leaf.select("c_custkey")).distinct()
+
+
+@query("SELECT l_orderkey, part, min(l_linenumber)::INT AS first_page, max(l_linenumber)::INT AS last_page, sum(l_quantity) AS length FROM (SELECT *, CAST(floor((sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) / 100) AS BIGINT) AS part FROM lineitem) GROUP BY 1, 2")
+def b12_b13_page_spans(spark, sf):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    part = F.floor((F.sum("l_quantity").over(w) - 1) / 100)
+    return table(spark, sf, "lineitem").withColumn("part", part).groupBy("l_orderkey", "part").agg(F.min("l_linenumber").alias("first_page"), F.max("l_linenumber").alias("last_page"), F.sum("l_quantity").alias("length"))
+
+
+@query("SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'referenced' ELSE 'unreferenced' END AS note FROM orders")
+def b14_b15_footnote_selection(spark, sf):
+    refs = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return o.join(refs, "o_orderkey", "left_semi").withColumn("note", F.lit("referenced")).union(o.join(refs, "o_orderkey", "left_anti").withColumn("note", F.lit("unreferenced")))
+
+
+@query()
+def b18_json_lines(spark, sf):
+    return chunking.to_json_lines(chunking.chunk_documents(table(spark, sf, "documents")))
+
+
+@query(f"SELECT concat_ws('_', doc_id, substr(sha256(unit_key), 1, 16), part) AS id, doc_id::VARCHAR AS document, content, NULL::VARCHAR AS problem FROM {CHUNKS}")
+def b19_json_round_trip(spark, sf):
+    rows = chunking.from_json_lines(chunking.to_json_lines(chunking.chunk_documents(table(spark, sf, "documents"))))
+    return rows.select("chunk.id", F.col("document.id").alias("document"), "chunk.content", "problem")
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderstatus, o_orderpriority AS k, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT * FROM v WHERE o_orderstatus = 'F'), b AS (SELECT * FROM v WHERE o_orderstatus = 'O')
+    SELECT coalesce(a.o_custkey || a.k, b.o_custkey || b.k) AS unit_key, a.n AS old_value, b.n AS new_value, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.k = b.k""")
+def b20_version_changes(spark, sf):
+    v = table(spark, sf, "orders").groupBy("o_orderstatus", F.concat(F.col("o_custkey").cast("string"), "o_orderpriority").alias("unit_key")).agg(F.count("*").alias("n"))
+    return chunking.version_changes(v.where("o_orderstatus = 'F'"), v.where("o_orderstatus = 'O'"), "unit_key", "n")
+
+
+@query("""WITH m AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS physical, o_orderkey % 7 AS r FROM orders), o AS (SELECT doc, CASE WHEN r < 4 THEN 2 ELSE r - 3 END AS page_offset, count(*) AS weight FROM m GROUP BY ALL)
+    SELECT doc, page_offset::BIGINT AS page_offset, weight FROM o QUALIFY row_number() OVER (PARTITION BY doc ORDER BY weight DESC, abs(page_offset), page_offset) = 1""")
+def a13_c01_page_offset(spark, sf):
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    r = F.col("o_orderkey") % 7
+    m = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), n.alias("physical"), (n + F.when(r < 4, 2).otherwise(r - 3)).alias("printed"))
+    return layout.page_offset(m, "doc")
+
+
+_M = f"(SELECT l.doc_id, d.source, CASE WHEN line_no = 0 THEN 'header' ELSE 'footer' END AS zone, {FP_SQL.format('line')} AS fp FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS m FROM {LINES_SQL}) l JOIN documents d ON d.doc_id = l.doc_id WHERE line_no = 0 OR line_no = m)"
+_CL = f"(SELECT c.source, zone, fp, occurrences, on_pages FROM (SELECT source, zone, fp, count(*) AS occurrences, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (WHERE doc_id % 2 = 0) AS ne, list_sort(list(DISTINCT doc_id)) AS on_pages FROM {_M} WHERE fp <> '' GROUP BY ALL) c JOIN (SELECT source, count(DISTINCT doc_id) AS pages, count(DISTINCT doc_id) FILTER (WHERE doc_id % 2 = 0) AS even FROM {_M} GROUP BY 1) p ON p.source = c.source WHERE n >= 3 AND (n >= 0.05 * pages OR (ne = n AND n >= 0.05 * even) OR (ne = 0 AND n >= 0.05 * (pages - even))))"
+
+
+@query(f"SELECT source, zone, fp, occurrences, on_pages FROM {_CL}")
+def a15_a16_a18_margin_clusters(spark, sf):
+    docs = table(spark, sf, "documents")
+    m = layout.margins(lines(docs)).join(docs.select("doc_id", "source"), "doc_id")
+    return layout.margin_clusters(m, "source", "doc_id", 3, 0.05)
+
+
+@query(f"SELECT l.doc_id, count(*) AS kept_lines FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS m FROM {LINES_SQL}) l JOIN documents d ON d.doc_id = l.doc_id WHERE NOT EXISTS (SELECT 1 FROM {_CL} c WHERE c.source = d.source AND c.fp = {FP_SQL.format('l.line')} AND ((c.zone = 'header' AND line_no = 0) OR (c.zone = 'footer' AND line_no = m AND line_no > 0))) GROUP BY 1")
+def a12_artifact_removal(spark, sf):
+    docs = table(spark, sf, "documents")
+    ls = lines(docs).join(docs.select("doc_id", "source"), "doc_id")
+    m = layout.margins(ls)
+    gone = m.join(layout.margin_clusters(m, "source", "doc_id", 3, 0.05).select("source", "zone", "fp"), ["source", "zone", "fp"], "left_semi").select("doc_id", "line_no")
+    return ls.join(gone, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("kept_lines"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS doc, l_quantity AS size, sum(length(l_returnflag) * l_linenumber)::BIGINT AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), b AS (SELECT doc, size AS body_size, weight FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY weight DESC, size) = 1)
+    SELECT b.doc, body_size, weight, m.leading FROM b JOIN (SELECT o_custkey AS doc, median(l_extendedprice) AS leading FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) m ON m.doc = b.doc""")
+def a11_body_style(spark, sf):
+    g = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).withColumnRenamed("o_custkey", "doc")
+    size = layout.modal(g, ["doc"], "l_quantity", F.sum(F.length("l_returnflag") * F.col("l_linenumber")), [F.col("l_quantity")], "body_size")
+    return size.join(g.groupBy("doc").agg(F.median("l_extendedprice").alias("leading")), "doc")
+
+
+@query("""WITH g AS (SELECT event_id, user_id, ts, date_diff('second', lag(ts) OVER w, ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS word FROM g)
+    SELECT user_id, word::BIGINT AS word, count(*) AS glyphs FROM b GROUP BY ALL""")
+def a07_a08_gaps_and_islands(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
+    return layout.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], gap > 3600, "word").groupBy("user_id", "word").agg(F.count("*").alias("glyphs"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, coalesce(lag(l_linenumber) OVER w = l_linenumber - 1 OR lead(l_linenumber) OVER w = l_linenumber + 1, false) AS accepted FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)")
+def a31_label_sequences(spark, sf):
+    i = table(spark, sf, "lineitem").withColumn("number", F.col("l_linenumber")).withColumn("ord", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return layout.accepted_labels(i, ["l_orderkey"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "accepted")
+
+
+@query(f"""WITH l AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM {LINES_SQL} WHERE trim(line) <> ''), b AS (SELECT *, sum(CASE WHEN before IS NULL OR (length(before) < 60 AND regexp_matches(before, '[.!?]$')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM l)
+    SELECT doc_id, block_no::BIGINT AS block_no, min(line_no)::INT AS first_line, count(*) AS n_lines, string_agg(line, ' ' ORDER BY line_no) AS text FROM b GROUP BY doc_id, block_no""")
+def a36_paragraphs(spark, sf):
+    return layout.paragraphs(lines(table(spark, sf, "documents")))
+
+
+_HD = "(SELECT o_custkey AS doc_id, o_orderkey AS ord, (1 + o_orderkey % 5)::INT AS level FROM orders)"
+
+
+@query(f"SELECT h.doc_id, h.ord, h.level, (SELECT max(p.ord) FROM {_HD} p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS parent_ord FROM {_HD} h")
+def a38_section_tree(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (1 + F.col("o_orderkey") % 5).cast("int").alias("level"))
+    return layout.tree(o)
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT h.doc_id, h.ord, h.level, (SELECT max(p.ord) FROM {_HD} p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS up FROM {_HD} h), t AS (SELECT doc_id, ord, 1 AS level FROM h WHERE up IS NULL UNION ALL SELECT h.doc_id, h.ord, least(h.level, t.level + 1)::INT FROM h JOIN t ON h.doc_id = t.doc_id AND h.up = t.ord) SELECT * FROM t""")
+def a33_heading_levels(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (1 + F.col("o_orderkey") % 5).cast("int").alias("level"))
+    return layout.clamped_levels(o)
+
+
+@query("SELECT r.event_id AS id, min(d.event_id) AS def_id FROM events r LEFT JOIN events d ON d.event_type = 'purchase' AND d.user_id = r.user_id AND d.event_id >= r.event_id WHERE r.event_type = 'click' GROUP BY 1")
+def a20_footnote_links(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("page"), F.col("event_id").alias("id"), "event_type")
+    return layout.linked_notes(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"]).select("id", "def_id")
+
+
+@query("SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY f) AS number FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY ALL)")
+def a39_footnote_numbers(spark, sf):
+    first = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("f"))
+    return first.select("o_custkey", "o_orderpriority", F.row_number().over(Window.partitionBy("o_custkey").orderBy("f")).cast("long").alias("number"))
+
+
+@query()
+def a40_d10_unique_identifiers(spark, sf):
+    h = table(spark, sf, "pages").select(F.col("page_id"), (F.col("page_id") % 5).alias("doc"), T.slug(F.regexp_extract("html", r"<h1>([^<]{0,12})", 1)).alias("slug"))
+    return layout.unique_suffixes(h, ["doc"], "page_id", "slug", "anchor")
+
+
+@query("SELECT source, lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE n_chars > 2000) AS long FROM documents GROUP BY ALL")
+def a41_report(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count(F.when(F.col("n_chars") > 2000, 1)).alias("long"))
+
+
+@query()
+def a25_column_bands(spark, sf):
+    return layout.column_bands(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity", 5.0)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN lag(o_orderpriority) OVER w = o_orderpriority THEN 0 ELSE 1 END AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), s AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS merged FROM g)
+    SELECT o_custkey, merged::BIGINT AS merged, count(*) AS parts, min(o_orderkey) AS first_part FROM s GROUP BY ALL""")
+def a27_a50_merged_tables(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = layout.islands(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], F.lag("o_orderpriority").over(w) != F.col("o_orderpriority"), "merged")
+    return rows.groupBy("o_custkey", "merged").agg(F.count("*").alias("parts"), F.min("o_orderkey").alias("first_part"))
+
+
+@query("SELECT l_orderkey, '| Flag | Status | Line |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_returnflag || ' | ' || l_linestatus || ' | ' || l_linenumber || ' |', chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS md FROM lineitem GROUP BY 1")
+def d07_tables(spark, sf):
+    rows = layout.gfm_rows(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", "md"))), lambda r: r["md"]), "\n")
+    return rows.groupBy("l_orderkey").agg(F.concat(F.lit("| Flag | Status | Line |\n| --- | --- | --- |\n"), body).alias("md"))
+
+
+@query("SELECT o_custkey, o_orderkey, CASE WHEN page > coalesce(max(page) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN '<!-- page: ' || page || ' -->' END AS marker FROM (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 9 AS page FROM orders)")
+def d02_page_markers(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 9).alias("page"))
+    return o.select("o_custkey", "o_orderkey", F.when(F.col("page") > F.coalesce(F.max("page").over(w), F.lit(0)), F.concat(F.lit("<!-- page: "), "page", F.lit(" -->"))).alias("marker"))
+
+
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(trim(h), '\\s', '-', 'g'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}-]', '', 'g')) AS slug, h AS heading FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS h FROM pages)")
+def d10_d11_slugs(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("heading")).select("page_id", T.slug(F.col("heading")).alias("slug"), "heading")
+
+
+@query("""WITH q AS (SELECT item_id AS quote_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') AS w FROM benchmark), g AS (SELECT quote_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM q), t AS (SELECT quote_id, count(*) AS total FROM g GROUP BY 1),
+    d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') AS w FROM documents), x AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d)), f AS (SELECT quote_id, doc_id, count(*) AS found FROM x JOIN g USING (g) GROUP BY ALL)
+    SELECT f.quote_id, doc_id, found, total, found >= 0.8 * total AS supported FROM f JOIN t ON t.quote_id = f.quote_id""")
+def f05_quote_grounding(spark, sf):
+    return faq.quote_coverage(table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), table(spark, sf, "documents")).select("quote_id", "doc_id", "found", "total", "supported")
+
+
+_QA = "(SELECT u.conv_id AS doc, u.turn AS ord, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"
+_QN = "rtrim(regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '[? ]+$', ''))"
+
+
+def candidates(spark, sf):
+    c = table(spark, sf, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return c.where("role = 'user'").join(a, ["conv_id", "turn"]).select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.col("text").alias("question"), "answer")
+
+
+@query(f"SELECT doc, ord, list_sort(list_filter(list_distinct(regexp_extract_all(answer, '\\p{{Nd}}+')), lambda x: NOT list_contains(regexp_extract_all(question, '\\p{{Nd}}+'), x))) AS missing FROM {_QA}")
+def f07_number_grounding(spark, sf):
+    return candidates(spark, sf).select("doc", "ord", faq.missing_numbers(F.col("answer"), F.col("question")).alias("missing"))
+
+
+@query(f"SELECT doc, ord, list_filter([CASE WHEN trim(question) = '' THEN 'blank question' END, CASE WHEN trim(answer) = '' THEN 'blank answer' END, CASE WHEN row_number() OVER (PARTITION BY doc, {_QN} ORDER BY ord) > 1 THEN 'repeated question' END, CASE WHEN row_number() OVER (PARTITION BY doc ORDER BY ord) > 2 THEN 'too many' END], lambda x: x IS NOT NULL) AS problems FROM {_QA}")
+def f04_candidate_problems(spark, sf):
+    return faq.candidate_problems(candidates(spark, sf), 2).select("doc", "ord", "problems")
+
+
+@query(f"SELECT doc, ord FROM {_QA} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY ord) <= 2")
+def f14_single_document_quota(spark, sf):
+    return candidates(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("ord"))).where("n <= 2").select("doc", "ord")
+
+
+@query("SELECT lang, count(*) AS documents, greatest(3, ceil(10.0 / count(*))::INT)::INT AS most, (CASE WHEN count(*) * 1 <= 10 THEN 1 ELSE 0 END)::INT AS least FROM documents GROUP BY 1")
+def f15_quotas(spark, sf):
+    most, least = faq.quotas(F.col("documents"))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("documents")).select("lang", "documents", most.alias("most"), least.alias("least"))
+
+
+@query(f"""WITH c AS (SELECT *, {_QN} AS qnorm, row_number() OVER (PARTITION BY doc ORDER BY ord) AS turn_no FROM {_QA}), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qnorm ORDER BY turn_no, doc) = 1) SELECT doc, turn_no::INT AS turn_no, ord FROM f ORDER BY turn_no, doc LIMIT 25""")
+def c11_f16_round_robin(spark, sf):
+    c = candidates(spark, sf).withColumn("qnorm", T.question_normal(F.col("question"))).withColumnRenamed("ord", "turn").withColumn("ord", F.struct("doc", "turn"))
+    return faq.round_robin(c, 25).select("doc", "turn_no", F.col("turn").alias("ord"))
+
+
+@query("WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, nullif(l_returnflag, 'N') AS unit FROM lineitem) SELECT doc_id, unit FROM s QUALIFY unit IS NOT NULL OR NOT bool_or(unit IS NOT NULL) OVER (PARTITION BY doc_id)")
+def c13_f13_sources(spark, sf):
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("unit")).distinct()
+    return s.withColumn("cited", F.max(F.col("unit").isNotNull()).over(Window.partitionBy("doc_id"))).where("unit IS NOT NULL OR NOT cited").select("doc_id", "unit")
+
+
+@query("SELECT e.event_id, e.user_id, (SELECT arg_max(value, (ts, event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS in_force FROM events e WHERE e.event_type = 'click'")
+def g01_g02_as_of_facts(spark, sf):
+    e = table(spark, sf, "events")
+    facts = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return corpus.as_of(e.where("event_type = 'click'").select("user_id", "event_id", "ts"), facts, ["user_id"], "ts", "ts", "value").select("event_id", "user_id", "in_force")
+
+
+@query("SELECT o_custkey, o_orderkey AS id, row_number() OVER w AS version, (lead(o_orderdate::DATE) OVER w - 1) AS valid_to, lag(o_orderkey) OVER w AS previous_id, CASE WHEN lead(o_orderkey) OVER w IS NULL THEN 'current' ELSE 'outdated' END AS status FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def g06_g07_g08_version_chain(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), "o_orderdate")
+    out = corpus.version_chain(o, "o_custkey", "o_orderdate")
+    return out.select("o_custkey", "id", F.col("version").cast("long").alias("version"), F.col("valid_to").cast("timestamp").alias("valid_to"), "previous_id", "status")
+
+
+@query("WITH v AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) SELECT o_custkey, o_orderkey, was, o_orderstatus AS now FROM v WHERE was <> o_orderstatus")
+def g03_version_diff(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderstatus").over(w).alias("was"), F.col("o_orderstatus").alias("now")).where("was <> now")
+
+
+@query("SELECT l_partkey, count(DISTINCT l_discount) AS versions, min(l_discount) AS here, max(l_discount) AS there FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_discount) > 1")
+def g04_contradictions(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_discount").alias("versions"), F.min("l_discount").alias("here"), F.max("l_discount").alias("there")).where("versions > 1")
+
+
+@query("SELECT o_custkey, o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS unit FROM orders")
+def g05_place_lookup(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.last(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")), ignorenulls=True).over(w).alias("unit"))
+
+
+@query(f"SELECT line, count(DISTINCT doc_id) AS documents, count(*) AS places FROM {LINES_SQL} GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def g19_c02_repeated_texts(spark, sf):
+    return corpus.repeated_texts(lines(table(spark, sf, "documents")), "line", "doc_id")
+
+
+@query(f"WITH l AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^ ]+')) AS words FROM {LINES_SQL}), r AS (SELECT line FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) SELECT doc_id, round_even(coalesce(sum(words) FILTER (WHERE line IN (SELECT line FROM r)), 0) / sum(words), 3) AS share FROM l GROUP BY 1 HAVING sum(words) > 0")
+def g20_g23_repeated_share(spark, sf):
+    l = lines(table(spark, sf, "documents")).withColumn("words", F.size(F.regexp_extract_all("line", F.lit("([^ ]+)"), F.lit(1))))
+    r = corpus.repeated_texts(l, "line", "doc_id").select("line", F.lit(True).alias("again"))
+    return l.join(r, "line", "left").groupBy("doc_id").agg(F.sum("words").alias("all"), F.coalesce(F.sum(F.when(F.col("again"), F.col("words"))), F.lit(0)).alias("rep")).where("all > 0").select("doc_id", F.bround(F.col("rep") / F.col("all"), 3).alias("share"))
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def g21_unresolved_references(spark, sf):
+    p = table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf, "lineitem").join(p, "l_partkey", "left_anti").select("l_orderkey", "l_partkey")
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F') < 5 OR count(*) FILTER (WHERE o_orderstatus = 'O') < 5")
+def g22_template_structure(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("o")).where("f < 5 OR o < 5")
+
+
+@query("SELECT o_custkey, o_orderkey, '§ ' || (count(*) FILTER (WHERE o_orderstatus = 'F') OVER w) AS unit FROM orders WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def g24_g32_numbering(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.concat(F.lit("§ "), F.row_number().over(w)).alias("unit"))
+
+
+@query("SELECT source, sha256(string_agg(doc_id || chr(0) || text || chr(0), '' ORDER BY doc_id)) AS content_hash FROM documents GROUP BY 1")
+def g28_content_hash(spark, sf):
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    return table(spark, sf, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(parts, lambda r: F.concat(r["doc_id"].cast("string"), F.lit("\0"), r["text"], F.lit("\0"))), ""), 256).alias("content_hash"))
+
+
+@query("SELECT o_custkey, o_orderpriority, dense_rank() OVER (PARTITION BY o_custkey ORDER BY first) AS number FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL)")
+def g35_footnote_renumbering(spark, sf):
+    f = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first"))
+    return f.select("o_custkey", "o_orderpriority", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("first")).cast("long").alias("number"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(content, '[^ \\n]+')) AS word FROM {CHUNKS} WHERE part = 1), x AS (SELECT doc_id, word, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT doc_id, word, count(*) AS m FROM b GROUP BY ALL)
+    SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.word, y.word) AS word, greatest(coalesce(n, 0) - coalesce(m, 0), 0) AS missing, greatest(coalesce(m, 0) - coalesce(n, 0), 0) AS extra FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.word = y.word WHERE coalesce(n, 0) <> coalesce(m, 0)""")
+def g30_g31_word_coverage(spark, sf):
+    d = table(spark, sf, "documents")
+    words = lambda df, c: df.select("doc_id", F.explode(F.regexp_extract_all(c, F.lit("([^ \n]+)"), F.lit(1))).alias("word"))
+    return corpus.bag_difference(words(d, "text"), words(chunking.chunk_documents(d).where("part = 1"), "content"), ["doc_id", "word"])
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS at FROM orders WHERE o_orderkey % 10 = 0")
+def c18_manifest_order(spark, sf):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", rank.alias("rank")).withColumn("at", F.row_number().over(Window.orderBy("rank", "o_orderkey")).cast("long"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'extra' WHEN b.k IS NULL THEN 'missing' ELSE 'different' END AS state FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v")
+def c20_c21_set_compare(spark, sf):
+    o = table(spark, sf, "orders")
+    a = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    b = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"))
+    out = chunking.version_changes(a, b, "k", "v").where("change <> 'same'")
+    return out.select("k", F.when(F.col("change") == "added", "extra").when(F.col("change") == "removed", "missing").otherwise("different").alias("state"))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) = count(nullif(length(text) % 7, 0)) THEN sum(length(text)) END::BIGINT AS total FROM conversations GROUP BY 1")
+def f20_usage_totals(spark, sf):
+    known = F.nullif(F.length("text") % 7, F.lit(0))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.when(F.count("*") == F.count(known), F.sum(F.length("text"))).alias("total"))

@@ -43,7 +43,7 @@ def lines(docs: DataFrame) -> DataFrame:
 LINES_SQL = "(SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 FP_SQL = "regexp_replace(trim(regexp_replace(regexp_replace(lower({}), '\\p{{Nd}}+', '#', 'g'), '\\s+', ' ', 'g')), '^[^\\p{{L}}#]+|[^\\p{{L}}#]+$', '', 'g')"
 SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-ROMAN_SQL = "list_reduce(list_prepend({{'t': 0, 'm': 0}}, list_transform(list_reverse(string_split(lower({}), '')), lambda x: {{'t': CASE x WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END, 'm': 0}})), lambda s, v: {{'t': s.t + CASE WHEN v.t < s.m THEN -v.t ELSE v.t END, 'm': greatest(s.m, v.t)}}).t"
+ROMAN_SQL = "list_reduce(list_prepend({{'t': 0, 'm': 0}}, list_transform(list_reverse(string_split(lower({}), '')), lambda x: {{'t': CASE x WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END, 'm': 0}})), lambda acc, cur: {{'t': acc.t + CASE WHEN cur.t < acc.m THEN -cur.t ELSE cur.t END, 'm': greatest(acc.m, cur.t)}}).t"
 
 Q: dict = {}
 SQL: dict[str, str] = {}
