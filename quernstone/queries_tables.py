@@ -276,7 +276,7 @@ def g01_g02_as_of_facts(spark, sf):
 def g06_g07_g08_version_chain(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), "o_orderdate")
     out = corpus.version_chain(o, "o_custkey", "o_orderdate")
-    return out.select("o_custkey", "id", F.col("version").cast("long").alias("version"), F.col("valid_to").cast("timestamp").alias("valid_to"), "previous_id", "status")
+    return out.select("o_custkey", "id", F.col("version").cast("long").alias("version"), "valid_to", "previous_id", "status")
 
 
 @query("WITH v AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) SELECT o_custkey, o_orderkey, was, o_orderstatus AS now FROM v WHERE was <> o_orderstatus")
