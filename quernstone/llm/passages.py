@@ -254,7 +254,7 @@ class Router:
                 return _table([], (pa.int32(), pa.int32(), *[pa.binary()] * 4), ["shard", "chunk", "content", "lengths", "docs", "starts"])
             ids, texts, _ = ordered(t)
             out = []
-            for shard, seen in sorted(gathered(ids, texts, kind, shards, told).items()):
+            for shard, seen in sorted(gathered(ids, segments(ids, texts, kind, shards, flagged_of(told))).items()):
                 docs = np.array([ids[v[0]] for v in seen.values()], np.int64)
                 starts = np.array([v[1] for v in seen.values()], np.int64)
                 out.append((shard, key[0].as_py(), b"".join(seen), np.fromiter(map(len, seen), np.int32, len(seen)).tobytes(), docs.tobytes(), starts.tobytes()))
@@ -287,38 +287,32 @@ class Router:
             if not len(t):
                 return finish([], [], [], t)
             ids, texts, t = ordered(t)
-            cover = [None] * len(texts)
-
-            def mark(row: int, windows: np.ndarray) -> None:
-                if cover[row] is None:
-                    cover[row] = np.zeros(kind.size(kind.load(texts[row])) + 1, np.int32)
-                np.add.at(cover[row], windows, 1)
-                np.add.at(cover[row], windows + kind.window, -1)
-
-            if len(known):
-                final = np.asarray(known["final"])
-                bits = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b, f in zip(known["shard"].to_pylist(), known["low"].to_pylist(), final, strict=True) if f}
-                told = known.filter(pa.array(~final))
-                if len(told):
-                    first = gathered(ids, texts, kind, shards, told)
-                    begin = {}
-                    for shard, seen in first.items():
-                        n = np.cumsum([0, *(v[2] for v in seen.values())])
-                        begin[shard] = dict(zip(seen, n[:-1].tolist(), strict=True))
-                    pending: dict[int, list[np.ndarray]] = {}
-                    for shard, content, row, start, n in segments(ids, texts, kind, shards, flagged_of(told)):
-                        least = first[shard][content]
-                        if ids[row] == ids[least[0]] and (not kind.within or start == least[1]):
-                            at = begin[shard][content]
-                            w = start + np.flatnonzero(bits[shard][at : at + n])
-                            if not len(w):
-                                continue
-                        else:
-                            w = np.arange(start, start + n)
-                        pending.setdefault(row, []).append(w)
-                    for row, found in pending.items():
-                        mark(row, np.concatenate(found))
-            masks = [None if c is None else np.cumsum(c[:-1]) > 0 for c in cover]
+            masks: list[np.ndarray | None] = [None] * len(texts)
+            final = np.asarray(known["final"], bool)
+            told = known.filter(pa.array(~final, pa.bool_()))
+            if len(told):
+                bits = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b, f in zip(known["shard"].to_pylist(), known["low"].to_pylist(), final.tolist(), strict=True) if f}
+                places = list(segments(ids, texts, kind, shards, flagged_of(told)))
+                first = gathered(ids, places)
+                begin = {}
+                for shard, seen in first.items():
+                    n = np.cumsum([0, *(v[2] for v in seen.values())])
+                    begin[shard] = dict(zip(seen, n[:-1].tolist(), strict=True))
+                for shard, content, row, start, n in places:
+                    least = first[shard][content]
+                    own = None
+                    if ids[row] == ids[least[0]] and (not kind.within or start == least[1]):
+                        at = begin[shard][content]
+                        own = bits[shard][at : at + n]
+                        if not own.any():
+                            continue
+                    mask = masks[row]
+                    if mask is None:
+                        mask = masks[row] = np.zeros(kind.size(kind.load(texts[row])), bool)
+                    if own is None or own.all():
+                        mask[start : start + n + kind.window - 1] = True
+                    else:
+                        mask[start : start + n + kind.window - 1] |= np.convolve(own, np.ones(kind.window, np.int32)) > 0
             return finish(ids, texts, masks, t)
 
         return self.docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply, schema)
@@ -330,13 +324,13 @@ def flagged_of(told: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def gathered(ids: np.ndarray, texts: list[bytes], kind: Kind, shards: int, told: pa.Table) -> dict[int, dict[bytes, tuple[int, int, int]]]:
+def gathered(ids: np.ndarray, places: Iterator[tuple] | list[tuple]) -> dict[int, dict[bytes, tuple[int, int, int]]]:
     """shard -> distinct content -> (row, start, windows) of its earliest place; rows come in order of their ids."""
     out: dict[int, dict[bytes, tuple[int, int, int]]] = {}
-    for shard, content, row, start, n in segments(ids, texts, kind, shards, flagged_of(told)):
+    for shard, content, row, start, n in places:
         seen = out.setdefault(shard, {})
         old = seen.get(content)
-        if old is None or ids[old[0]] == ids[row] and start < old[1]:
+        if old is None or start < old[1] and ids[old[0]] == ids[row]:
             seen[content] = (row, start, n)
     return out
 

@@ -48,12 +48,9 @@ KIND = Kind(WINDOW, GRAM, True, bytes.split, len, word_hashes, lambda w, a, b: b
 
 def coded(contents: list[list[bytes]]) -> tuple[np.ndarray, int]:
     """Word codes of all contents, one after another with a 0 after each, and how many characters a code takes."""
-    known: dict[bytes, int] = {}
-    codes = [known.setdefault(w, len(known) + 1) for c in contents for w in (*c, None)]
-    out = np.array(codes, np.int64)
-    if contents:
-        out[out == known[None]] = 0
-    return out, 1 if len(known) < 1_100_000 else 2
+    flat = [w for c in contents for w in (*c, b"")]  # no word is empty
+    known = {w: i for i, w in enumerate(dict.fromkeys([b"", *flat]))}
+    return np.array([*map(known.__getitem__, flat)], np.int64), 1 if len(known) < 1_100_000 else 2
 
 
 def as_text(codes: np.ndarray, width: int) -> str:

@@ -52,9 +52,10 @@ def suffix_array(data: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
     for i in range(STEP):
         key = (key << U64(8)) | np.where(i < left, data[i : i + n], 0).astype(np.uint64)
     key = (key << U64(8)) | left.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = key[1:] != key[:-1]
     rank = np.zeros(n + 1, np.int64)  # rank of a group: its first place in the order, plus 1; the end of a string has 0
     group = np.flatnonzero(new)
     rank[order] = np.repeat(group, np.diff(np.append(group, n))) + 1
@@ -66,19 +67,20 @@ def suffix_array(data: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
             break
         at = order[open_]
         ahead = at + h
-        nxt = np.where(ahead < end[at], rank[np.minimum(ahead, n)], 0)
-        again = np.lexsort((nxt, rank[at]))
-        at, nxt = at[again], nxt[again]
-        order[open_] = at
-        own = rank[at]
-        split = np.ones(len(at), bool)
-        split[1:] = (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])
-        new = np.zeros(n, bool)
-        new[group] = True
-        new[open_[split]] = True
+        pair = rank[at] << 32 | np.where(ahead < end[at], rank[np.minimum(ahead, n)], 0)
+        again = np.argsort(pair)
+        order[open_] = at = at[again]
+        pair = pair[again]
+        split = open_[np.concatenate(([True], pair[1:] != pair[:-1]))]
+        new[group], new[split] = True, True
         group = np.flatnonzero(new)
-        rank[order] = np.repeat(group, np.diff(np.append(group, n))) + 1
+        at_group = np.searchsorted(split, open_, side="right") - 1
+        rank[at] = split[at_group] + 1
         h *= 2
+    size = np.diff(np.append(group, n))
+    open_ = np.flatnonzero(np.repeat(size > 1, size))  # equal to their ends: in order of position
+    at = order[open_]
+    order[open_] = at[np.lexsort((at, rank[at]))]
     return order
 
 
@@ -90,7 +92,7 @@ def kasai(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.n
     """
     place = np.full(len(data), -1, np.int64)
     place[order] = np.arange(len(order))
-    word = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # eight bytes from every place on
     prefix = np.zeros(len(order), np.int64)
     have_all = np.zeros(len(starts), np.int64)
     lane = np.argsort(-windows, kind="stable")
@@ -103,10 +105,10 @@ def kasai(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.n
         have = np.where(r > 0, have_all[on], 0)
         todo = np.flatnonzero(r > 0)
         while len(todo):
-            same = word[i[todo] + have[todo]] == word[j[todo] + have[todo]]
-            whole = same.all(axis=1)
-            have[todo] += np.where(whole, 8, np.argmin(same, axis=1))
-            todo = todo[whole & (have[todo] < cap)]
+            at = have[todo]
+            x = word[i[todo] + at] ^ word[j[todo] + at]
+            have[todo] = at = at + np.where(x == 0, 8, np.bitwise_count((x & (~x + U64(1))) - U64(1)) >> 3)
+            todo = todo[(x == 0) & (at < cap)]
         have = np.minimum(have, cap)
         prefix[r] = have
         have_all[on] = np.where((r > 0) & (place[j + 1] >= 0), np.maximum(have - 1, 0), 0)
