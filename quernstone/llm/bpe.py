@@ -59,7 +59,9 @@ class Codec:
         known = self.known
         if len(known) > CACHE_TOKENS:
             known.clear()
-        for p in {*pieces} - known.keys():
+        for p in {*pieces}:
+            if p in known:
+                continue
             b = p.encode("utf-8")
             rank = self.ranks.get(b)
             known[p] = array("I", [rank] if rank is not None else self.core._core_bpe.encode_single_piece(b)).tobytes()
