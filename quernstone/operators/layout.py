@@ -54,7 +54,7 @@ def paragraphs(lines: DataFrame, short: int = 60) -> DataFrame:
     before = F.lag("line").over(w)
     broken = before.isNull() | (F.trim(before) == "") | ((F.length(before) < short) & before.rlike(r"[.!?]$"))
     rows = islands(lines.where("trim(line) <> ''"), ["doc_id"], ["line_no"], broken, "block_no")
-    return rows.groupBy("doc_id", "block_no").agg(F.listagg("line", F.lit(" ")).alias("x"), F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), " ").alias("text")).drop("x")
+    return rows.groupBy("doc_id", "block_no").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), " ").alias("text"))
 
 
 def tree(headings: DataFrame, levels: int = 6) -> DataFrame:
