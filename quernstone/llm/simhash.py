@@ -11,8 +11,10 @@ How pairs are found, whole and without all-pairs output:
 * Inside a bucket the distances of all members to PIVOTS fixed reference fingerprints are tabled. By the triangle
   inequality a pair whose largest coordinate difference exceeds the distance can't be near and is discarded; the
   survivors are verified by popcount.
-* A bucket emits a spanning star of its components, at most one row a member, never its pairs. Large buckets are
-  compared in blocks of fixed memory.
+* A bucket emits a spanning star of its components, at most one row a member, never its pairs.
+* Buckets of over HOT_BUCKET distinct fingerprints (a family of near copies may hold a third of all rows) never reach
+  one task: their members are linked in linear work by ball_links, exactly and for the default distance of 2. Other
+  distances compare them in the bucket, in blocks of fixed memory.
 
 Components: alternating large-star and small-star over the star edges, checkpointed at each round.
 
@@ -39,6 +41,9 @@ SEED = 42
 MAX_DISTANCE = 2
 PIVOTS = 24
 BLOCK = 512
+HOT_BUCKET = 8192
+#: Up to so many keys of hot buckets (a long each) are broadcast; beyond, the joins shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def simhash(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -140,7 +145,18 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int = MAX_DISTANCE) ->
     return fps[edge], fps[label[edge]]
 
 
-def near_links(distinct: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
+def ball_links(fps: DataFrame) -> DataFrame:
+    """(u, v): links that span the components of distance 2 among distinct fingerprints, none of them skewed.
+
+    Every fingerprint goes to the 65 words at distance 0 or 1 from it. Two fingerprints differ in 2 bits or fewer exactly
+    when they share such a word, and no word has more than 65 of them, so each word's star is small whatever the input.
+    """
+    ball = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
+    words = fps.select("fp", F.explode(ball).alias("word")).groupBy("word").agg(F.collect_set("fp").alias("us"), F.min("fp").alias("v"))
+    return words.where(F.size("us") > 1).select(F.explode("us").alias("u"), "v").where("u <> v")
+
+
+def near_links(distinct: DataFrame, most: int = MAX_DISTANCE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(u, v): links between distinct fingerprints that span each near component."""
     n = most + 2
     cuts = [64 * i // n for i in range(n + 1)]
@@ -165,7 +181,15 @@ def near_links(distinct: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
             yield out(held_k, held_f)
 
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    return rows.repartition(part_count(distinct), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long").distinct()
+    hot = None
+    if most == 2:
+        large = checkpointed(rows.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
+        if many := large.count():
+            large = F.broadcast(large) if many <= BROADCAST_KEYS else large
+            hot = ball_links(rows.join(large, "key", "left_semi").select("fp").distinct())
+            rows = rows.join(large, "key", "left_anti")
+    links = rows.repartition(part_count(distinct), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+    return (links if hot is None else links.union(hot)).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

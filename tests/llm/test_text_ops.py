@@ -183,3 +183,35 @@ def test_bpe_table(spark, sf, multi):
     want = {r.doc_id: hashlib.sha256(array("I", enc.encode_ordinary(r.text)).tobytes()).hexdigest() for r in docs.collect()}
     for size in (32768, 500):
         assert {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(docs, path, P.PATTERN, chunk_chars=size, overlap=64).collect()} == want
+
+
+def test_simhash_hot_buckets(spark):
+    """Buckets over the bound give the same components as comparing every pair."""
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    for base in fps[:3]:
+        at = base
+        for _ in range(60):
+            at ^= (1 << int(rng.integers(0, 24))) | (1 << int(rng.integers(0, 24)))
+            fps.append(at)
+    fps = sorted({*fps})
+    label = {f: f for f in fps}
+
+    def top(f):
+        while label[f] != f:
+            f = label[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                label[max(top(a), top(b))] = min(top(a), top(b))
+    want = {}
+    for f in fps:
+        want.setdefault(top(f), set()).add(f)
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for bound in (4, 1 << 20):
+        got = {}
+        for r in simhash.components(simhash.near_links(table, hot_bucket=bound)).collect():
+            got.setdefault(r.root, {r.root}).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
