@@ -189,3 +189,71 @@ def stream_seed(seed: pd.Series, purpose: pd.Series, name: pd.Series) -> pd.Seri
     h = np.array([fnv1a(f"{p}\x1f{i}") for p, i in zip(purpose, name, strict=True)], np.uint64)
     with np.errstate(over="ignore"):
         return pd.Series(_mixed((seed.to_numpy(np.int64).view(np.uint64) ^ h) + GAMMA).view(np.int64))
+
+
+def skip_reason(content: Column) -> Column:
+    """Why a page is left out: no content could be read, or it holds no text; null for a page that stays."""
+    return F.when(content.isNull(), "read-error").when(F.trim(F.regexp_replace(content, r"<[^>]*>|\s+", " ")) == "", "no-text-layer")
+
+
+def list_tree(items: DataFrame, key: str, order: str, depth: str, label: str, levels: int = 4) -> DataFrame:
+    """Adds parent (order of the last item before it that is less deep) and ancestors (their labels, outermost first)."""
+    line = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col(depth) == k, F.struct(F.col(order).alias("o"), F.col(label).alias("l")))).over(line) for k in range(1, levels + 1)]
+    items = items.withColumn("_last", F.array(*last))
+    above = F.slice("_last", F.lit(1), F.col(depth) - 1)
+    open_ = F.filter(above, lambda a, k: a.isNotNull() & ~F.exists(F.slice("_last", F.lit(1), k), lambda b: b.isNotNull() & (b["o"] > a["o"])))
+    items = items.withColumn("_open", F.when(F.col(depth) > 1, open_).otherwise(F.slice("_last", 1, 0)))
+    return items.withColumn("parent", F.array_max(F.transform("_open", lambda a: a["o"]))).withColumn("ancestors", F.transform("_open", lambda a: a["l"])).drop("_last", "_open")
+
+
+def words_in_cells(words: DataFrame, cells: DataFrame, page: str) -> DataFrame:
+    """Words with the cell of their page that holds their centre and baseline; half-open boxes, so no word has two."""
+    w, c = words.alias("w"), cells.alias("c")
+    inside = (F.col(f"w.{page}") == F.col(f"c.{page}")) & (F.col("w.centre") >= F.col("c.left")) & (F.col("w.centre") < F.col("c.right")) & (F.col("w.baseline") > F.col("c.top")) & (F.col("w.baseline") <= F.col("c.bottom"))
+    return w.join(c, inside).select("w.*", "c.row_no", "c.col_no")
+
+
+def rendered_sections(blocks: DataFrame, key: str, order: str, level: str, heading: str, body: str) -> DataFrame:
+    """(key, markdown): headings with their level's marks and their blocks, a blank line between chunks, one final LF."""
+    chunk = F.concat(F.repeat(F.lit("#"), F.col(level)), F.lit(" "), F.col(heading), F.when(F.coalesce(F.col(body), F.lit("")) == "", "").otherwise(F.concat(F.lit("\n\n"), F.col(body))))
+    gathered = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), chunk.alias("t")))).alias("_b"))
+    return gathered.select(key, F.concat(F.array_join(F.transform("_b", lambda b: b["t"]), "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+def input_problems(name: Column, markdown: Column, address: Column, tokens: Column, limit: int = 100_000) -> Column:
+    """What keeps a document from being used."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    absolute = F.coalesce(address, F.lit("")).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\s]+")
+    return F.array_compact(F.array(F.when(blank(name), "name"), F.when(blank(markdown), "markdown"), F.when(~absolute, "address"), F.when(tokens > limit, "size")))
+
+
+def parsed_candidates(answers: DataFrame, doc_no: str, json: str) -> DataFrame:
+    """(doc_no, id, question, answer, unit, quote) of responses of the closed shape; others give one row with problem set."""
+    keys = ["answer", "question", "quote", "unit"]
+    item = "struct<question:string,answer:string,unit:string,quote:string>"
+    raw = F.from_json(F.get_json_object(json, "$.candidates"), "array<map<string,string>>")
+    closed = (F.json_object_keys(json) == F.array(F.lit("candidates"))) & raw.isNotNull() & F.forall(raw, lambda m: F.array_sort(F.map_keys(m)) == F.array(*map(F.lit, keys)))
+    good = F.coalesce(closed, F.lit(False))
+    rows = answers.select(doc_no, good.alias("_good"), F.posexplode_outer(F.when(good, F.from_json(F.get_json_object(json, "$.candidates"), f"array<{item}>"))).alias("_at", "c"))
+    name = F.concat(F.lit("D"), F.col(doc_no).cast("string"), F.lit("-K"), (F.col("_at") + 1).cast("string"))
+    return rows.select(doc_no, name.alias("id"), "c.question", "c.answer", F.nullif(F.trim("c.unit"), F.lit("")).alias("unit"), "c.quote", F.when(~F.col("_good"), "shape").alias("problem"))
+
+
+def layout_for(plans: DataFrame, kind: str, order: str, minimums: list[tuple[str, int]], allowed: list[str]) -> DataFrame:
+    """Adds layout: a type's first documents meet the minimums in turn, the others take an allowed one by hash."""
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(order))
+    plans, chosen, upto = plans.withColumn("_n", place), None, 0
+    for name, n in minimums:
+        upto += n
+        chosen = F.when(F.col("_n") <= upto, name) if chosen is None else chosen.when(F.col("_n") <= upto, name)
+    free = F.element_at(F.array(*map(F.lit, allowed)), (F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % len(allowed) + 1).cast("int"))
+    return plans.withColumn("layout", free if chosen is None else chosen.otherwise(free)).drop("_n")
+
+
+def optional_blocks(blocks: DataFrame, doc: str, section: str, order: str, least: int, budget: int) -> DataFrame:
+    """Blocks taken: every section's minimum first, then one a section in turn until the document's budget is spent."""
+    turn = F.row_number().over(Window.partitionBy(doc, section).orderBy(order))
+    ranked = blocks.withColumn("_turn", turn)
+    taken = F.row_number().over(Window.partitionBy(doc).orderBy(F.col("_turn") > least, "_turn", section))
+    return ranked.withColumn("_taken", taken).where((F.col("_turn") <= least) | (F.col("_taken") <= budget)).drop("_turn", "_taken")

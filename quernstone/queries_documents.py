@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .operators import documents as D
 from .queries_text import _literal, _rows, table
 
@@ -196,3 +197,69 @@ def g33_outline_numbers(spark, sf):
     ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), ord_.alias("ord"), (1 + F.col("l_partkey") % 3).cast("int").alias("depth"))
     return D.outline_numbers(s, "doc", "ord", "depth")
+
+
+LINE_ROWS = "(SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem)"
+
+
+def line_rows(spark, sf):
+    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), ord_.alias("ord"), "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+
+
+@query("SELECT page_id, CASE WHEN h IS NULL THEN 'read-error' WHEN trim(regexp_replace(h, '<[^>]*>|\\s+', ' ', 'g')) = '' THEN 'no-text-layer' END AS reason FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<p> <b></b>' || chr(10) || '</p>' ELSE html END AS h FROM pages)")
+def a02_skipped_pages(spark, sf):
+    kind = F.col("page_id") % 5
+    html = F.when(kind == 1, F.lit("<p> <b></b>\n</p>")).when(kind > 1, F.col("html"))
+    return table(spark, sf, "pages").select("page_id", D.skip_reason(html).alias("reason"))
+
+
+@query(f"""WITH s AS (SELECT doc, ord, (1 + l_partkey % 4)::INT AS depth, 'p' || l_partkey AS label FROM {LINE_ROWS}),
+    a AS (SELECT s.doc, s.ord, list(x.label ORDER BY x.ord) AS ancestors, max(x.ord) AS parent FROM s JOIN s x ON x.doc = s.doc AND x.ord < s.ord AND x.depth < s.depth
+        AND NOT EXISTS (SELECT 1 FROM s y WHERE y.doc = s.doc AND y.ord > x.ord AND y.ord < s.ord AND y.depth <= x.depth) GROUP BY 1, 2)
+    SELECT s.*, parent, coalesce(ancestors, []) AS ancestors FROM s LEFT JOIN a ON s.doc = a.doc AND s.ord = a.ord""")
+def a30_a43_b11_list_tree(spark, sf):
+    items = line_rows(spark, sf).select("doc", "ord", (1 + F.col("l_partkey") % 4).cast("int").alias("depth"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("label"))
+    return D.list_tree(items, "doc", "ord", "depth", "label")
+
+
+@query(f"SELECT doc, ord, floor(l_quantity / 10)::BIGINT AS row_no, l_partkey % 100 // 25 AS col_no FROM {LINE_ROWS} WHERE l_quantity > 0 AND l_quantity < 50 AND l_quantity % 10 <> 0 AND l_partkey % 100 < 75")
+def a51_words_in_cells(spark, sf):
+    rows = line_rows(spark, sf)
+    words = rows.where("l_quantity % 10 <> 0").select("doc", "ord", (F.col("l_partkey") % 100).cast("double").alias("centre"), F.col("l_quantity").alias("baseline"))
+    grid = F.explode(F.expr("flatten(transform(sequence(0L, 4L), r -> transform(sequence(0L, 2L), c -> struct(r AS row_no, c AS col_no))))")).alias("g")
+    cells = rows.select("doc").distinct().select("doc", grid).selectExpr("doc", "g.row_no", "g.col_no", "g.col_no * 25.0D AS left", "(g.col_no + 1) * 25.0D AS right", "g.row_no * 10.0D AS top", "(g.row_no + 1) * 10.0D AS bottom")
+    return D.words_in_cells(words, cells, "doc").select("doc", "ord", "row_no", "col_no")
+
+
+@query(f"SELECT doc, string_agg(repeat('#', (1 + l_partkey % 3)::INT) || ' H' || ord || CASE WHEN l_returnflag = 'N' THEN '' ELSE chr(10) || chr(10) || 'b' || l_suppkey END, chr(10) || chr(10) ORDER BY ord) || chr(10) AS markdown FROM {LINE_ROWS} GROUP BY doc")
+def d01_b16_rendered_sections(spark, sf):
+    blocks = line_rows(spark, sf).select("doc", "ord", (1 + F.col("l_partkey") % 3).cast("int").alias("level"), F.concat(F.lit("H"), F.col("ord").cast("string")).alias("heading"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.concat(F.lit("b"), F.col("l_suppkey").cast("string"))).alias("body"))
+    return D.rendered_sections(blocks, "doc", "ord", "level", "heading", "body")
+
+
+@query("SELECT doc_id, list_filter([CASE WHEN trim(coalesce(source, '')) = '' THEN 'name' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'markdown' END, CASE WHEN doc_id % 3 = 0 THEN 'address' END, CASE WHEN ceil(length(text) / 3.0) > 1000 THEN 'size' END], lambda x: x IS NOT NULL) AS problems FROM documents")
+def f01_input_problems(spark, sf):
+    address = F.when(F.col("doc_id") % 3 == 0, "plik.pdf").otherwise(F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")))
+    return table(spark, sf, "documents").select("doc_id", D.input_problems(F.col("source"), F.col("text"), address, T.token_estimate(F.col("text")), 1000).alias("problems"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'D' || c_custkey || '-K' || k END AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS question, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS answer,
+    CASE WHEN c_custkey % 3 <> 0 AND k = 1 THEN '§ 1' END AS unit, CASE WHEN c_custkey % 3 <> 0 THEN 'q' END AS quote, CASE WHEN c_custkey % 3 = 0 THEN 'shape' END AS problem
+    FROM customer, (VALUES (1), (2)) AS v(k) WHERE k = 1 OR c_custkey % 3 <> 0""")
+def f02_f03_candidate_parse(spark, sf):
+    one = lambda unit: F.struct(F.col("c_name").alias("question"), F.col("c_mktsegment").alias("answer"), F.lit(unit).alias("unit"), F.lit("q").alias("quote"))
+    good = F.to_json(F.struct(F.array(one("§ 1"), one(" ")).alias("candidates")))
+    json = F.when(F.col("c_custkey") % 3 == 0, F.replace(good, F.lit('"quote"'), F.lit('"other"'))).otherwise(good)
+    return D.parsed_candidates(table(spark, sf, "customer").select("c_custkey", json.alias("json")), "c_custkey", "json")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN n <= 2 THEN 'formal' WHEN n <= 5 THEN 'compact' ELSE ['formal', 'plain', 'compact'][1 + ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 3] END AS layout FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders)")
+def g11_layout_quotas(spark, sf):
+    return D.layout_for(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", [("formal", 2), ("compact", 3)], ["formal", "plain", "compact"])
+
+
+@query(f"""WITH r AS (SELECT doc, ord, l_returnflag AS sec, row_number() OVER (PARTITION BY doc, l_returnflag ORDER BY ord) AS turn FROM {LINE_ROWS}),
+    t AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn > 1, turn, sec) AS taken FROM r) SELECT doc, ord, sec FROM t WHERE turn <= 1 OR taken <= 4""")
+def g13_optional_blocks(spark, sf):
+    return D.optional_blocks(line_rows(spark, sf).select("doc", "ord", F.col("l_returnflag").alias("sec")), "doc", "sec", "ord", 1, 4)
