@@ -226,7 +226,13 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest doc_id stays; repeated rows of that id collapse to one."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(found, F.col(id_col) == F.col("_kept"), "left_semi")
-    return first.dropDuplicates([id_col])
+    """Of each component the row with the smallest doc_id stays, null ids last; rows of the same id and text collapse to one.
+
+    Components are told apart by a hash of each row's id and text, so that null and repeated ids lose no component.
+    """
+    number = F.col(id_col).cast("long")
+    keyed = docs.withColumn("_row", F.xxhash64(number.isNull(), F.coalesce(number, F.lit(0)), F.col(text_col)))
+    groups = near_duplicates(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root")).distinct()
+    ids = keyed.select("_row", number.alias("_id")).distinct()
+    best = groups.join(ids, "_row").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best"))
+    return keyed.join(best.select("_best._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
