@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import packing, quality, simhash, suffixes
+from quernstone.llm import packing, quality, similar, suffixes
 from quernstone.llm.common import scratch, table
 
 
@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id."""
+    return similar.keep_one(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ component id unless the whole component has no other; an empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -225,14 +225,21 @@ def hex_fingerprint(col: str = "fp"):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest doc_id stays, null ids last; rows of the same id and text collapse to one.
+def one_of_each(docs: DataFrame, grouping: Callable[[DataFrame, str, str], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group the row with the smallest doc_id stays, null ids last; rows of the same id and text collapse to one.
 
-    Components are told apart by a hash of each row's id and text, so that null and repeated ids lose no component.
+    grouping(docs, row_col, text_col) gives (row, root). Rows are told apart by a hash of their id and text, so that null
+    and repeated ids lose no group.
     """
     number = F.col(id_col).cast("long")
     keyed = docs.withColumn("_row", F.xxhash64(number.isNull(), F.coalesce(number, F.lit(0)), F.col(text_col)))
-    groups = near_duplicates(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root")).distinct()
+    found = grouping(keyed, "_row", text_col).select(F.col("row").alias("_row"), F.col("root").alias("_root")).distinct()
     ids = keyed.select("_row", number.alias("_id")).distinct()
-    best = groups.join(ids, "_row").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best"))
+    best = found.join(ids, "_row").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best"))
     return keyed.join(best.select("_best._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component."""
+    members = lambda d, row, text: near_duplicates(d, row, text).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+    return one_of_each(docs, members, id_col, text_col)

@@ -1,9 +1,74 @@
 """The near-duplicate stage keeps one row of each group, whatever the ids are."""
 
-from quernstone.llm import simhash
+import random
 
+import pytest
 
-def test_keep_one_odd_ids(spark):
+import corpus_pipeline
+from quernstone.llm import similar, simhash
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(texts):
+    sets, label = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not (a or b) or 5 * len(a & b) >= 4 * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def split(labels):
+    out = {}
+    for i, x in enumerate(labels):
+        out.setdefault(x, []).append(i)
+    return sorted(out.values())
+
+
+def edited(r, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[r.randrange(len(words))] = f"new{r.randrange(10**9)}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def families():
+    r = random.Random(3)
+    texts = [None, "", " ", "a", "A", "a b c", "a b c d e", "a b c d e f"]
+    for size in (30, 120, 600):
+        for _ in range(6):
+            base = [f"w{r.randrange(5000)}" for _ in range(size)]
+            texts += [" ".join(base), " ".join(base).upper()] + [" ".join(edited(r, base, r.randint(1, max(1, size // 25)))) for _ in range(6)]
+    return texts
+
+
+@pytest.mark.parametrize("hot_bucket", [2, 4096])
+def test_groups_are_those_of_brute_force(spark, families, hot_bucket):
+    df = spark.createDataFrame(list(enumerate(families)), "row long, text string")
+    root = {r.row: r.root for r in similar.groups(df, "row", "text", hot_bucket).collect()}
+    assert split([root[i] for i in range(len(families))]) == split(brute_groups(families))
+
+
+def test_stage_drops_near_copies(spark, sf, families):
+    docs = spark.createDataFrame(list(enumerate(families)), "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in got) == [g[0] for g in split(brute_groups(families))]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(min(rows[i][0] for i in g) for g in split(brute_groups([t for _, t in rows])))
+
+
+def test_empty(spark, sf):
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), sf).count() == 0
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, similar.keep_one])
+def test_keep_one_odd_ids(spark, keep_one):
     rows = [(None, "a lone text that has no id at all"), (7, "first of two unlike texts under one id"), (7, "the second has nothing in common with it"), (8, "x y z w"), (None, "x y z w"), (8, "x y z w")]
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for i, t in rows[:4])
