@@ -32,3 +32,13 @@ def bag_difference(truth: DataFrame, found: DataFrame, key: list[str]) -> DataFr
     a, b = truth.groupBy(*key).agg(F.count("*").alias("a")), found.groupBy(*key).agg(F.count("*").alias("b"))
     n, m = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     return a.join(b, key, "full").select(*key, F.greatest(n - m, F.lit(0)).alias("missing"), F.greatest(m - n, F.lit(0)).alias("extra")).where("missing > 0 OR extra > 0")
+
+
+def numbered(rows: DataFrame, rank: str, key: str, out: str, width: int = 65536) -> DataFrame:
+    """Numbers all rows from 1 by rank and whole-number key: in ranges of the key, each after the count of those before."""
+    cut = rows.withColumn("_range", F.floor(F.col(key) / width))
+    ranges = cut.groupBy(rank, "_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(rank, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(rank, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(rank, "_range").orderBy(key))
+    return cut.withColumn("_at", inside).join(ranges, [rank, "_range"]).withColumn(out, F.col("_at") + F.col("_before")).drop("_at", "_before", "_range")

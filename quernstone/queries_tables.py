@@ -351,6 +351,12 @@ def c18_manifest_order(spark, sf):
     return table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", rank.alias("rank")).withColumn("at", F.row_number().over(Window.orderBy("rank", "o_orderkey")).cast("long"))
 
 
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS at FROM orders")
+def c18_manifest_order_all_rows(spark, sf):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return corpus.numbered(table(spark, sf, "orders").select("o_orderkey", rank.alias("rank")), "rank", "o_orderkey", "at")
+
+
 @query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'extra' WHEN b.k IS NULL THEN 'missing' ELSE 'different' END AS state FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v")
 def c20_c21_set_compare(spark, sf):
     o = table(spark, sf, "orders")
