@@ -345,6 +345,18 @@ def g30_g31_word_coverage(spark, sf):
     return corpus.bag_difference(words(d, "text"), words(chunking.chunk_documents(d).where("part = 1"), "content"), ["doc_id", "word"])
 
 
+def word_coverage(docs, chunks):
+    words = lambda df, c: df.select("doc_id", F.explode(F.regexp_extract_all(c, F.lit("([^ \n]+)"), F.lit(1))).alias("word"))
+    return corpus.bag_difference(words(docs, "text"), words(chunks, "content"), ["doc_id", "word"])
+
+
+@query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(content, '[^ \\n]+')) AS word FROM {CHUNKS}), x AS (SELECT doc_id, word, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT doc_id, word, count(*) AS m FROM b GROUP BY ALL)
+    SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.word, y.word) AS word, greatest(coalesce(n, 0) - coalesce(m, 0), 0) AS missing, greatest(coalesce(m, 0) - coalesce(n, 0), 0) AS extra FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.word = y.word WHERE coalesce(n, 0) <> coalesce(m, 0)""")
+def g30_g31_word_coverage_all_parts(spark, sf):
+    d = table(spark, sf, "documents")
+    return word_coverage(d, chunking.chunk_documents(d))
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS at FROM orders WHERE o_orderkey % 10 = 0")
 def c18_manifest_order(spark, sf):
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)

@@ -1,6 +1,7 @@
 """Cases that a filter or a cut in a query would hide."""
 
 import __spark_entry__ as entry
+from quernstone import queries_tables
 from quernstone.operators import corpus
 
 
@@ -10,3 +11,14 @@ def test_manifest_order_numbers_every_row(spark, sf):
     rows = [(r, k) for r in (2, 0, 1) for k in (9, -3, 0, 14, 5)]
     got = corpus.numbered(spark.createDataFrame(rows, "rank int, k long"), "rank", "k", "at", 4).collect()
     assert {(r["rank"], r.k): r["at"] for r in got} == {x: i for i, x in enumerate(sorted(rows), 1)}
+
+
+def test_word_coverage_counts_every_part(spark, tmp_path):
+    lines = [f"{w} " * 250 for w in ("one", "two", "three")]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "s")], "doc_id long, text string, source string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert entry.queries()["g30_g31_word_coverage_all_parts"](spark, f"file://{tmp_path}").count() == 0
+    parts = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma gamma")], "doc_id long, part int, content string")
+    whole = spark.createDataFrame([(1, "alpha beta\ngamma delta")], "doc_id long, text string")
+    got = queries_tables.word_coverage(whole, parts).collect()
+    assert sorted((r.word, r.missing, r.extra) for r in got) == [("delta", 1, 0), ("gamma", 0, 1)]
