@@ -228,6 +228,12 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\s", "-"), r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}-]", "")
 
 
+def heading_inline(c: Column) -> Column:
+    """The rendered text of a heading: emphasis stars removed, backslash escapes resolved."""
+    plain = F.replace(F.replace(c, F.lit("\\*"), F.lit("\0")), F.lit("*"), F.lit(""))
+    return F.replace(F.regexp_replace(plain, r"\\([!-/:-@\[-`{-~])", "$1"), F.lit("\0"), F.lit("*"))
+
+
 def yaml_quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(squeeze(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 

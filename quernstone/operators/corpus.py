@@ -42,3 +42,21 @@ def numbered(rows: DataFrame, rank: str, key: str, out: str, width: int = 65536)
     ranges = ranges.select(rank, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(rank, "_range").orderBy(key))
     return cut.withColumn("_at", inside).join(ranges, [rank, "_range"]).withColumn(out, F.col("_at") + F.col("_before")).drop("_at", "_before", "_range")
+
+
+def atx_headings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, line_no, heading): headings of one to six # outside ``` and ~~~ fences, which the lines are folded over for."""
+    fence, heading = r"^ {0,3}(`{3,}|~{3,})(.*)$", r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("at"), F.array().cast("array<struct<line_no:int,heading:string>>").alias("found"))
+
+    def step(s, line):
+        mark, rest = F.regexp_extract(line, fence, 1), F.regexp_extract(line, fence, 2)
+        inside = s["fence"] != ""
+        closes = inside & (mark != "") & mark.startswith(s["fence"]) & (F.regexp_replace(rest, r"\s", "") == "")
+        now = F.when(closes, "").when(inside, s["fence"]).otherwise(mark)
+        is_head = ~inside & (mark == "") & line.rlike(heading)
+        head = F.array(F.struct(s["at"].alias("line_no"), F.regexp_extract(line, heading, 1).alias("heading")))
+        return F.struct(now.alias("fence"), (s["at"] + 1).alias("at"), F.when(is_head, F.concat(s["found"], head)).otherwise(s["found"]).alias("found"))
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
+    return docs.select(*key, F.explode(F.aggregate(lines, start, step, lambda s: s["found"])).alias("h")).select(*key, "h.line_no", "h.heading")

@@ -174,7 +174,7 @@ def a39_footnote_numbers(spark, sf):
 
 @query()
 def a40_d10_unique_identifiers(spark, sf):
-    h = table(spark, sf, "pages").select(F.col("page_id"), (F.col("page_id") % 5).alias("doc"), T.slug(F.regexp_extract("html", r"<h1>([^<]{0,12})", 1)).alias("slug"))
+    h = table(spark, sf, "pages").select(F.col("page_id"), (F.col("page_id") % 5).alias("doc"), T.slug(F.regexp_extract("html", r"<h1>([^<]*)", 1)).alias("slug"))
     return layout.unique_suffixes(h, ["doc"], "page_id", "slug", "anchor")
 
 
@@ -215,6 +215,14 @@ def d10_d11_slugs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("heading")).select("page_id", T.slug(F.col("heading")).alias("slug"), "heading")
 
 
+@query()
+def d11_heading_anchors(spark, sf):
+    """Anchors of all ATX headings outside fences, repeats numbered in each page. The tags of HTML headings become ATX lines."""
+    text = F.regexp_replace("html", "<h[1-6][^>]*>([^<]*)</h[1-6]>", "\n# $1\n")
+    heads = corpus.atx_headings(table(spark, sf, "pages").select("page_id", text.alias("text")), ["page_id"], "text")
+    return layout.unique_suffixes(heads.withColumn("slug", T.slug(T.heading_inline(F.col("heading")))), ["page_id"], "line_no", "slug", "anchor")
+
+
 @query("""WITH q AS (SELECT item_id AS quote_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') AS w FROM benchmark), g AS (SELECT quote_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM q), t AS (SELECT quote_id, count(*) AS total FROM g GROUP BY 1),
     d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') AS w FROM documents), x AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d)), f AS (SELECT quote_id, doc_id, count(*) AS found FROM x JOIN g USING (g) GROUP BY ALL)
     SELECT f.quote_id, doc_id, found, total, found >= 0.8 * total AS supported FROM f JOIN t ON t.quote_id = f.quote_id""")

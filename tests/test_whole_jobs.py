@@ -22,3 +22,17 @@ def test_word_coverage_counts_every_part(spark, tmp_path):
     whole = spark.createDataFrame([(1, "alpha beta\ngamma delta")], "doc_id long, text string")
     got = queries_tables.word_coverage(whole, parts).collect()
     assert sorted((r.word, r.missing, r.extra) for r in got) == [("delta", 1, 0), ("gamma", 0, 1)]
+
+
+def test_anchors_of_long_headings_stay_apart(spark, tmp_path):
+    pages = spark.createDataFrame([(0, "<h1>Warunki umowy kredytu</h1>"), (5, "<h1>Warunki umowy rachunku</h1>"), (10, "<h1>Warunki umowy kredytu</h1>")], "page_id long, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = entry.queries()["a40_d10_unique_identifiers"](spark, f"file://{tmp_path}").collect()
+    assert {r.page_id: r.anchor for r in got} == {0: "warunki-umowy-kredytu", 5: "warunki-umowy-rachunku", 10: "warunki-umowy-kredytu-1"}
+
+
+def test_anchors_of_all_headings_outside_fences(spark, tmp_path):
+    text = "# One *two*\r\n```sh\n# no\n~~~\n```\n   ## One two ##\n####### seven\n#none\n~~~~\n~~~\n# no\n~~~~ x\n~~~~~\n### A \\* b_c\n#\n# One two-1\n~~~\n# no"
+    spark.createDataFrame([(1, text), (2, "<h1>One two</h1><p>x</p><h2>One two</h2>"), (3, None)], "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = entry.queries()["d11_heading_anchors"](spark, f"file://{tmp_path}").orderBy("page_id", "line_no").collect()
+    assert [(r.page_id, r.anchor) for r in got] == [(1, "one-two"), (1, "one-two-1"), (1, "a--b_c"), (1, ""), (1, "one-two-1-1"), (2, "one-two"), (2, "one-two-1")]
