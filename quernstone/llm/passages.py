@@ -7,22 +7,30 @@ all windows would shuffle many times the corpus; here only those that may recur
    windows mostly share theirs, so a chunk of documents has few. A chunk sends each distinct anchor hash once, packed to
    five bytes, to the shard of the hash. A shard tells each chunk which of its anchors occur elsewhere too.
 2. segments: windows with such an anchor are cut into segments (the run of windows around one anchor). A chunk merges
-   equal segments, keeps the earliest place of each, and sends them to the anchor's shard, where all windows that could
-   be equal meet. A passage that stands in every document is one row a chunk, however hot it is.
-3. verdicts: the shard (an operator's own part) answers one bit a window: whether an earlier one exists anywhere. Every
-   place of a segment but the chunk's earliest has an earlier one in its own chunk, so a bit for the earliest is enough.
+   equal segments and sends them with their places to the anchor's shard, where all windows that could be equal meet. A
+   passage that stands in every document is one row a chunk, however hot it is.
+3. verdicts: the shard (an operator's own part) answers one bit a window of the segment's earliest place in the chunk:
+   whether an earlier one exists anywhere. Every other place of a segment has an earlier one in its own chunk. The
+   verdict carries the places along, so nothing is hashed or cut a third time.
 4. The chunk applies the bits to its documents.
 
 Five-byte hashes only choose candidates; false ones cost work, not results, and true ones can't be missed.
 
 Documents are dealt to chunks by a hash of doc_id, so every step is a function of its input and survives lost executors.
 The exchange of the documents by chunk is the same in all three steps and is reused by Spark.
+
+A chunk sends one row to each shard it touches. So that these rows don't grow as chunks times shards, both sizes grow
+with the square root of the input beyond SCALE_BYTES: rows then grow in proportion to it, up to GROWTH squared times
+SCALE_BYTES (1 TB); beyond, a row holds ever fewer anchors until, at worst, each anchor is a row of its own. A shard
+is judged in parts by the anchor's hash, so its working memory doesn't grow with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +41,13 @@ from .common import U64, bins_for, mix, runs
 
 CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 4 << 20
-BATCH_BYTES = 2 << 20
+#: Above so many bytes of text, chunks and shards grow with the square root of the input, up to GROWTH times.
+SCALE_BYTES = 1 << 30
+GROWTH = 32
+#: A batch's arrays of eight-byte hashes stay within a core's cache.
+BATCH_BYTES = 1 << 16
+#: A shard is judged in parts of about so many bytes of segments.
+PART_BYTES = 12 << 20
 POSITION_BITS = 24
 LOW_BITS = 40
 P = U64(0x9E3779B97F4A7C15 | 1)
@@ -51,20 +65,34 @@ class Unit:
 
 @dataclass
 class Kind:
-    """What differs between words and bytes. within: whether repeats inside one document count."""
+    """What differs between words and bytes.
+
+    within: whether repeats inside one document count. every: whether all places of a segment travel, or the earliest
+    alone because mark() finds the others itself. length: symbols of what cut() gave. mark(ids, texts, segments): the covered symbols of every document, or None.
+    """
 
     window: int
     gram: int
     within: bool
+    every: bool
     load: Callable[[bytes], object]
     size: Callable[[object], int]
     hashes: Callable[[object, list], np.ndarray]
     cut: Callable[[object, int, int], bytes]
+    length: Callable[[bytes], int]
     batch: int
+    mark: Callable[[np.ndarray, list[bytes], Segments], list[np.ndarray | None]]
+
 
+@dataclass
+class Segments:
+    """Recurring segments of a chunk: windows of each, a bit for each window of its earliest place, and its places."""
 
-def byte_powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, P, np.uint64))
+    windows: np.ndarray
+    bits: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -165,25 +193,36 @@ def ordered(t: pa.Table) -> tuple[np.ndarray, list[bytes], pa.Table]:
     return ids, [x.encode("utf-8") if x is not None else b"" for x in t["text"].to_pylist()], t
 
 
-def segments(ids: np.ndarray, texts: list[bytes], kind: Kind, shards: int, flagged: np.ndarray) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(shard, content, row, start, windows) of each place of a segment whose anchor is flagged."""
+def segments(texts: list[bytes], kind: Kind, shards: int, flagged: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
+    """(key, content, row, start) of each place of a segment whose anchor is flagged."""
+    if not len(flagged):
+        return
+    low = U64((1 << 20) - 1)
+    maybe = np.zeros(1 << 20, bool)  # spares most of the searches
+    maybe[flagged & low] = True
     for items, units in batches(texts, kind):
-        symbols = kind.hashes(items, units)
-        starts, windows, grams, unit = anchor_runs(symbols, units, kind)
+        starts, windows, grams, unit = anchor_runs(kind.hashes(items, units), units, kind)
         keys = keys_of(grams, shards)
-        at = np.searchsorted(flagged, keys)
-        hit = np.flatnonzero((at < len(flagged)) & (flagged[np.minimum(at, max(len(flagged) - 1, 0))] == keys)) if len(flagged) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(maybe[keys & low])
+        at = np.searchsorted(flagged, keys[hit])
+        hit = hit[flagged[np.minimum(at, len(flagged) - 1)] == keys[hit]]
         first = np.cumsum([0, *(u.size for u in units)])
-        for k, s, n, u in zip((keys[hit] >> U64(LOW_BITS)).tolist(), starts[hit].tolist(), windows[hit].tolist(), unit[hit].tolist(), strict=True):
-            loaded, offset, _ = items[u]
-            begin = offset + s - int(first[u])
-            yield k, kind.cut(loaded, begin, begin + n + kind.window - 1), units[u].row, begin, n
+        begin = starts[hit] - first[unit[hit]] + np.array([u.offset for u in units], np.int64)[unit[hit]]
+        cut, more = kind.cut, kind.window - 1
+        for k, s, n, u in zip(keys[hit].tolist(), begin.tolist(), windows[hit].tolist(), unit[hit].tolist(), strict=True):
+            yield k, cut(items[u][0], s, s + n + more), units[u].row, s
 
 
 FLAG = "shard int, chunk int, once binary, often binary"
 REPLY = "chunk int, shard int, low binary"
-SEGMENT = "shard int, chunk int, content binary, lengths binary, docs binary, starts binary"
-VERDICT = "chunk int, shard int, bits binary"
+SEGMENT = "shard int, chunk int, content binary, lengths binary, docs binary, parts binary, counts binary, rows binary, starts binary"
+VERDICT = "chunk int, shard int, windows binary, bits binary, counts binary, rows binary, starts binary"
+
+
+def counts_for(total: int, chunk_bytes: int, shard_bytes: int) -> tuple[int, int]:
+    """Chunks and shards for so many bytes of text."""
+    more = min(GROWTH, max(1.0, sqrt(total / SCALE_BYTES)))
+    return bins_for(total, int(chunk_bytes * more)), bins_for(total, int(shard_bytes * more))
 
 
 class Router:
@@ -193,8 +232,9 @@ class Router:
         """carry: columns that travel along with the texts, as c0, c1, ..."""
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.kind, self.shards = kind, bins_for(total, shard_bytes)
-        self.docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(bins_for(total, chunk_bytes))).cast("int"))
+        chunks, self.shards = counts_for(total, chunk_bytes, shard_bytes)
+        self.kind = kind
+        self.docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     def flags(self) -> DataFrame:
         kind, shards = self.kind, self.shards
@@ -246,76 +286,111 @@ class Router:
         return self.docs.groupBy("chunk").applyInArrow(emit, FLAG).groupBy("shard").applyInArrow(reply, REPLY)
 
     def candidates(self) -> DataFrame:
-        """Distinct segments of each chunk with their earliest place, by shard, and what the chunk was told."""
+        """Distinct segments of each chunk with their places, by shard."""
         kind, shards = self.kind, self.shards
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
+        names = ["shard", "chunk", "content", "lengths", "docs", "parts", "counts", "rows", "starts"]
 
         def emit(key: tuple[pa.Scalar, ...], t: pa.Table, told: pa.Table) -> pa.Table:
             if not len(t) or not len(told):
-                return _table([], (pa.int32(), pa.int32(), *[pa.binary()] * 4), ["shard", "chunk", "content", "lengths", "docs", "starts"])
+                return _table([], types, names)
             ids, texts, _ = ordered(t)
             out = []
-            for shard, seen in sorted(gathered(ids, segments(ids, texts, kind, shards, flagged_of(told))).items()):
-                docs = np.array([ids[v[0]] for v in seen.values()], np.int64)
-                starts = np.array([v[1] for v in seen.values()], np.int64)
-                out.append((shard, key[0].as_py(), b"".join(seen), np.fromiter(map(len, seen), np.int32, len(seen)).tobytes(), docs.tobytes(), starts.tobytes()))
-            return _table(out, (pa.int32(), pa.int32(), *[pa.binary()] * 4), ["shard", "chunk", "content", "lengths", "docs", "starts"])
-
-        return self.docs.groupBy("chunk").cogroup(self.told.groupBy("chunk")).applyInArrow(emit, SEGMENT)
+            for shard, seen in sorted(gathered(segments(texts, kind, shards, flagged_of(told))).items()):
+                places = [earliest_first(ids, v[1:], kind) for v in seen.values()]
+                counts = np.fromiter((len(p) // 2 for p in places), np.int32, len(places))
+                flat = np.fromiter(chain.from_iterable(places), np.int32, 2 * int(counts.sum()))
+                rows, starts = flat[::2], flat[1::2]
+                docs = ids[rows[np.cumsum(counts) - counts]]
+                parts = np.fromiter((v[0] & 255 for v in seen.values()), np.uint8, len(seen))
+                out.append((shard, key[0].as_py(), b"".join(seen), *(x.tobytes() for x in (np.fromiter(map(len, seen), np.int32, len(seen)), docs, parts, counts, rows, starts))))
+            return _table(out, types, names)
+
+        return self.docs.groupBy("chunk").cogroup(self.flags().groupBy("chunk")).applyInArrow(emit, SEGMENT)
 
     def removed(self, resolve: Callable[[list[tuple]], list[np.ndarray]], finish: Callable, schema: str) -> DataFrame:
         """finish(ids, texts, masks, table) gets, for each document of a chunk, the symbols that removed windows cover.
 
         resolve gets the (contents, docs, starts) of each chunk at one shard and returns its bits, a bit for each window.
         """
-        kind, shards = self.kind, self.shards
-        self.told = self.flags()
+        kind = self.kind
 
         def judge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             t = t.sort_by("chunk")
-            rows = []
-            for content, lengths, docs, starts in zip(*(t[c].to_pylist() for c in ("content", "lengths", "docs", "starts")), strict=True):
-                ends = np.cumsum(np.frombuffer(lengths, np.int32).astype(np.int64)).tolist()
-                rows.append(([content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64)))
-            bits = resolve(rows)
-            return _table([(c, key[0].as_py(), np.packbits(b).tobytes()) for c, b in zip(t["chunk"].to_pylist(), bits, strict=True)], (pa.int32(), pa.int32(), pa.binary()), ["chunk", "shard", "bits"])
+            found = [_Sent(kind, *x) for x in zip(*(t[c].to_pylist() for c in SEGMENT_COLUMNS), strict=True)]
+            parts = min(256, bins_for(sum(f.size for f in found), PART_BYTES))
+            for part in range(parts):
+                chosen = [np.flatnonzero(f.parts % parts == part) for f in found]
+                for f, i, bits in zip(found, chosen, resolve([f.some(i) for f, i in zip(found, chosen, strict=True)]), strict=True):
+                    f.bits[ranges(f.base[i], f.windows[i])] = bits
+            out = [(c, key[0].as_py(), *f.verdict()) for c, f in zip(t["chunk"].to_pylist(), found, strict=True)]
+            return _table([x for x in out if x[2]], (pa.int32(), pa.int32(), *[pa.binary()] * 5), ["chunk", "shard", "windows", "bits", "counts", "rows", "starts"])
 
-        # the chunk needs what it was told again, to cut the same segments: both kinds of row come in one table
-        verdicts = self.candidates().groupBy("shard").applyInArrow(judge, VERDICT).select("chunk", "shard", F.col("bits").alias("low"), F.lit(True).alias("final"))
-        both = verdicts.unionByName(self.told.select("chunk", "shard", "low", F.lit(False).alias("final")))
+        verdicts = self.candidates().groupBy("shard").applyInArrow(judge, VERDICT)
 
         def apply(key: tuple[pa.Scalar, ...], t: pa.Table, known: pa.Table) -> pa.Table:
             if not len(t):
                 return finish([], [], [], t)
             ids, texts, t = ordered(t)
-            masks: list[np.ndarray | None] = [None] * len(texts)
-            final = np.asarray(known["final"], bool)
-            told = known.filter(pa.array(~final, pa.bool_()))
-            if len(told):
-                bits = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b, f in zip(known["shard"].to_pylist(), known["low"].to_pylist(), final.tolist(), strict=True) if f}
-                places = list(segments(ids, texts, kind, shards, flagged_of(told)))
-                first = gathered(ids, places)
-                begin = {}
-                for shard, seen in first.items():
-                    n = np.cumsum([0, *(v[2] for v in seen.values())])
-                    begin[shard] = dict(zip(seen, n[:-1].tolist(), strict=True))
-                for shard, content, row, start, n in places:
-                    least = first[shard][content]
-                    own = None
-                    if ids[row] == ids[least[0]] and (not kind.within or start == least[1]):
-                        at = begin[shard][content]
-                        own = bits[shard][at : at + n]
-                        if not own.any():
-                            continue
-                    mask = masks[row]
-                    if mask is None:
-                        mask = masks[row] = np.zeros(kind.size(kind.load(texts[row])), bool)
-                    if own is None or own.all():
-                        mask[start : start + n + kind.window - 1] = True
-                    else:
-                        mask[start : start + n + kind.window - 1] |= np.convolve(own, np.ones(kind.window, np.int32)) > 0
-            return finish(ids, texts, masks, t)
-
-        return self.docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply, schema)
+            if not len(known):
+                return finish(ids, texts, [None] * len(texts), t)
+            known = known.sort_by("shard")
+            windows, counts, rows, starts = (np.frombuffer(b"".join(known[c].to_pylist()), np.int32).astype(np.int64) for c in ("windows", "counts", "rows", "starts"))
+            bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(np.frombuffer(w, np.int32).sum())).astype(bool) for b, w in zip(known["bits"].to_pylist(), known["windows"].to_pylist(), strict=True)])
+            return finish(ids, texts, kind.mark(ids, texts, Segments(windows, bits, counts, rows, starts)), t)
+
+        return self.docs.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(apply, schema)
+
+
+SEGMENT_COLUMNS = ["content", "lengths", "docs", "parts", "counts", "rows", "starts"]
+
+
+class _Sent:
+    """What a chunk sent to a shard."""
+
+    def __init__(self, kind: Kind, content: bytes, lengths: bytes, docs: bytes, parts: bytes, counts: bytes, rows: bytes, starts: bytes):
+        self.size = len(content)
+        ends = np.cumsum(np.frombuffer(lengths, np.int32).astype(np.int64)).tolist()
+        self.contents = [content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.docs, self.parts = np.frombuffer(docs, np.int64), np.frombuffer(parts, np.uint8)
+        self.counts, self.rows, self.starts = (np.frombuffer(x, np.int32) for x in (counts, rows, starts))
+        self.first = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        self.windows = np.fromiter(map(kind.length, self.contents), np.int64, len(self.contents)) - kind.window + 1
+        self.base = np.cumsum(self.windows) - self.windows
+        self.bits = np.zeros(int(self.windows.sum()), bool)
+
+    def some(self, i: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return [self.contents[k] for k in i.tolist()], self.docs[i], self.starts[self.first[i]].astype(np.int64)
+
+    def verdict(self) -> tuple[bytes, ...]:
+        """The segments with a removed window or a second place."""
+        keep = np.flatnonzero(np.logical_or.reduceat(self.bits, self.base) | (self.counts > 1))
+        places = ranges(self.first[keep], self.counts[keep].astype(np.int64))
+        bits = np.packbits(self.bits[ranges(self.base[keep], self.windows[keep])])
+        return self.windows[keep].astype(np.int32).tobytes(), bits.tobytes(), self.counts[keep].tobytes(), self.rows[places].tobytes(), self.starts[places].tobytes()
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for sizes[0] numbers, then those of the next."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def covered(size: int, late: np.ndarray, window: int) -> np.ndarray:
+    """The symbols of a document of that size which the windows at late cover."""
+    step = np.bincount(late, minlength=size + 1) - np.bincount(late + window, minlength=size + 1)
+    return np.cumsum(step[:size]) > 0
+
+
+def mark_places(ids: np.ndarray, sizes: list[int], rows: np.ndarray, late: np.ndarray, window: int) -> list[np.ndarray | None]:
+    """Masks of all documents from the rows and starts of their late windows."""
+    masks: list[np.ndarray | None] = [None] * len(sizes)
+    order = np.argsort(rows, kind="stable")
+    rows, late = rows[order], late[order]
+    at = runs(rows)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b > a:
+            masks[rows[a]] = covered(sizes[rows[a]], late[a:b], window)
+    return masks
 
 
 def flagged_of(told: pa.Table) -> np.ndarray:
@@ -324,17 +399,30 @@ def flagged_of(told: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def gathered(ids: np.ndarray, places: Iterator[tuple] | list[tuple]) -> dict[int, dict[bytes, tuple[int, int, int]]]:
-    """shard -> distinct content -> (row, start, windows) of its earliest place; rows come in order of their ids."""
-    out: dict[int, dict[bytes, tuple[int, int, int]]] = {}
-    for shard, content, row, start, n in places:
-        seen = out.setdefault(shard, {})
-        old = seen.get(content)
-        if old is None or start < old[1] and ids[old[0]] == ids[row]:
-            seen[content] = (row, start, n)
+def gathered(places: Iterator[tuple[int, bytes, int, int]]) -> dict[int, dict[bytes, list[int]]]:
+    """shard -> distinct content -> [key, row, start, row, start, ...] in order of rows and starts."""
+    out: dict[int, dict[bytes, list[int]]] = {}
+    for key, content, row, start in places:
+        seen = out.setdefault(key >> LOW_BITS, {})
+        known = seen.get(content)
+        if known is None:
+            seen[content] = [key, row, start]
+        else:
+            known += (row, start)
     return out
 
 
+def earliest_first(ids: np.ndarray, flat: list[int], kind: Kind) -> list[int]:
+    """Places as row, start, row, start, ... with the earliest by id and start in front; at most two if not all travel."""
+    if len(flat) > 2 and kind.within:  # rows of one id are one document: the smaller start comes first
+        peers = 2
+        while peers < len(flat) and ids[flat[peers]] == ids[flat[0]]:
+            peers += 2
+        least = min(range(0, peers, 2), key=lambda i: flat[i + 1])
+        flat[0], flat[1], flat[least], flat[least + 1] = flat[least], flat[least + 1], flat[0], flat[1]
+    return flat if kind.every else flat[:4]
+
+
 def _table(rows: list[tuple], types: tuple, names: list[str]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

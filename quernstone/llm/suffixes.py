@@ -4,11 +4,12 @@ Every byte covered by a WINDOW-byte string that also starts in a document of sma
 judged on the input and never cross documents.
 
 passages.py brings the segments that may recur to shards. A shard cuts its segments into blocks of bounded size. For each block
-the suffixes are sorted by prefix doubling: a first sort by seven bytes, then only suffixes in groups not yet told apart
-are refined by the rank at the doubled distance, until the sorted prefix covers the window. Kasai's pass gives the common
-prefixes of neighbours; it runs over all segments of a block side by side, one array operation for a step in each. Runs
-of neighbours with WINDOW bytes in common are one string, with the smallest doc_id of its places. Blocks of one shard are
-merged by binary search of one's distinct strings in the other's sorted ones.
+the suffixes are sorted by prefix doubling: a first sort by eight bytes, then only suffixes in groups not yet told apart
+are refined by the rank one sorted prefix further on, until the prefix covers the window; a suffix leaves as soon as it is too
+short for the next prefix, as its rank is no longer asked for. Kasai's pass gives the common prefixes of neighbours; it
+runs over all segments of a block side by side, one array operation for a step in each. Runs of neighbours with WINDOW
+bytes in common are one string, with the smallest doc_id of its places. Blocks of one shard are merged by binary search
+of one's distinct strings in the other's sorted ones.
 
 Defined results: null text is empty; rows of one doc_id are peers, so repeated rows get equal results; null ids come
 before all others; an empty table gives an empty table; other columns are ignored.
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import U64
-from .passages import Kind, Router
+from .common import U64, runs
+from .passages import Kind, Router, Segments, mark_places, ranges
 
 WINDOW = 50
 GRAM = 20
 BLOCK_BYTES = 4 << 20
-STEP = 7
+PLACES = 1 << 15
+STEP = 8
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -38,49 +40,55 @@ def byte_symbols(items: list, units: list) -> np.ndarray:
     return np.frombuffer(b"".join(loaded[at : at + size] for loaded, at, size in items), np.uint8).astype(np.uint64) + U64(1)
 
 
-KIND = Kind(WINDOW, GRAM, False, bytes, len, byte_symbols, lambda t, a, b: t[a:b], passages.BATCH_BYTES)
+def mark(ids: np.ndarray, texts: list[bytes], known: Segments) -> list[np.ndarray | None]:
+    """Bytes to remove. Places of the segment's first document have its bits; the others repeat that document."""
+    segment = np.repeat(np.arange(len(known.counts)), known.counts)
+    first = ids[known.rows[np.cumsum(known.counts) - known.counts]][segment]
+    bit = np.cumsum(known.windows) - known.windows
+    rows, late = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(segment), PLACES):
+        s, r = segment[at : at + PLACES], known.rows[at : at + PLACES]
+        n = known.windows[s]
+        gone = known.bits[ranges(bit[s], n)] | np.repeat(ids[r] != first[at : at + PLACES], n)
+        rows.append(np.repeat(r, n)[gone].astype(np.int32))
+        late.append(ranges(known.starts[at : at + PLACES], n)[gone].astype(np.int32))
+    return mark_places(ids, [*map(len, texts)], np.concatenate(rows), np.concatenate(late), WINDOW)
 
 
-def suffix_array(data: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
-    """Positions sorted by their suffixes up to end[i], told apart in their first `least` bytes; equal ones stay in order of position.
+KIND = Kind(WINDOW, GRAM, False, True, bytes, len, byte_symbols, lambda t, a, b: t[a:b], len, passages.BATCH_BYTES, mark)
 
-    data is followed by at least STEP zero bytes; position i belongs to a string that ends before end[i].
+
+def suffix_array(data: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """Positions with `window` bytes or more before end[i], sorted by those bytes.
+
+    data is followed by at least STEP bytes of any value; position i belongs to a string that ends before end[i].
     """
     n = len(end)
-    key = np.zeros(n, np.uint64)
-    left = np.minimum(end - np.arange(n), STEP)
-    for i in range(STEP):
-        key = (key << U64(8)) | np.where(i < left, data[i : i + n], 0).astype(np.uint64)
-    key = (key << U64(8)) | left.astype(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    rank = np.zeros(n + 1, np.int64)  # rank of a group: its first place in the order, plus 1; the end of a string has 0
-    group = np.flatnonzero(new)
-    rank[order] = np.repeat(group, np.diff(np.append(group, n))) + 1
-    h = STEP
-    while h < least:
-        size = np.diff(np.append(group, n))
+    h = min(STEP, window)
+    left = (end - np.arange(n)).astype(np.int32)
+    order = np.flatnonzero(left >= h)
+    key = np.ndarray((n,), ">u8", data, strides=(1,))[order].astype(np.uint64) >> U64(64 - 8 * h)
+    by = np.argsort(key)
+    order, key = order[by], key[by]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    rank = np.zeros(n, np.int64)  # of the first h bytes; only positions with so many have one
+    while h < window:
+        step = min(h, window - h)
+        group = np.cumsum(new)
+        rank[order] = group
+        stay = left[order] >= h + step
+        order, group = order[stay], group[stay]
+        begins = runs(group)
+        size = np.diff(begins)
+        new = np.zeros(len(order), bool)
+        new[begins[:-1]] = True
         open_ = np.flatnonzero(np.repeat(size > 1, size))  # only groups not yet told apart
-        if not len(open_):
-            break
         at = order[open_]
-        ahead = at + h
-        pair = rank[at] << 32 | np.where(ahead < end[at], rank[np.minimum(ahead, n)], 0)
-        again = np.argsort(pair)
-        order[open_] = at = at[again]
-        pair = pair[again]
-        split = open_[np.concatenate(([True], pair[1:] != pair[:-1]))]
-        new[group], new[split] = True, True
-        group = np.flatnonzero(new)
-        at_group = np.searchsorted(split, open_, side="right") - 1
-        rank[at] = split[at_group] + 1
-        h *= 2
-    size = np.diff(np.append(group, n))
-    open_ = np.flatnonzero(np.repeat(size > 1, size))  # equal to their ends: in order of position
-    at = order[open_]
-    order[open_] = at[np.lexsort((at, rank[at]))]
+        pair = group[open_] << 32 | rank[at + step]
+        by = np.argsort(pair)
+        order[open_], pair = at[by], pair[by]
+        new[open_[1:][pair[1:] != pair[:-1]]] = True
+        h += step
     return order
 
 
@@ -88,7 +96,7 @@ def kasai(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.n
     """Common prefix, up to cap, of each place in order with the one before it.
 
     order holds the places start + 0 ... windows - 1 of every string. Strings advance side by side. Where the neighbour's
-    next place is in the order too, it stands before ours and Kasai's bound holds: the prefix shrinks by one at most.
+    next place stands before ours in the order too, Kasai's bound holds: the prefix shrinks by one at most.
     """
     place = np.full(len(data), -1, np.int64)
     place[order] = np.arange(len(order))
@@ -111,7 +119,8 @@ def kasai(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.n
             todo = todo[(x == 0) & (at < cap)]
         have = np.minimum(have, cap)
         prefix[r] = have
-        have_all[on] = np.where((r > 0) & (place[j + 1] >= 0), np.maximum(have - 1, 0), 0)
+        after = place[j + 1]
+        have_all[on] = np.where((r > 0) & (after >= 0) & (after < place[i + 1]), np.maximum(have - 1, 0), 0)
     return prefix
 
 
@@ -122,9 +131,7 @@ def distinct_windows(contents: list[bytes], docs: np.ndarray, window: int, with_
     n = int(sizes.sum())
     ends = np.cumsum(sizes)
     starts, windows = ends - sizes, sizes - window + 1
-    order = suffix_array(data, np.repeat(ends, sizes), int(sizes.max()))
-    usable = np.repeat(ends, sizes) - np.arange(n) >= window
-    order = order[usable[order]]
+    order = suffix_array(data, np.repeat(ends, sizes), window)
     prefix = kasai(data, starts, windows, order, window)
     kind = np.cumsum(prefix < window) - 1
     first = np.flatnonzero(prefix < window)
@@ -135,7 +142,7 @@ def distinct_windows(contents: list[bytes], docs: np.ndarray, window: int, with_
         keys[:, :window] = np.lib.stride_tricks.as_strided(data, (n, window), (1, 1))[order[first]]
     of = np.full(n, -1, np.int64)
     of[order] = kind
-    return keys.reshape(-1).view(f"S{window + 1}"), smallest, of[usable]
+    return keys.reshape(-1).view(f"S{window + 1}"), smallest, of[of >= 0]
 
 
 def merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +157,9 @@ def merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]
 def resolve(rows: list[tuple[list[bytes], np.ndarray, np.ndarray]], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[np.ndarray]:
     """For each chunk's segments: a bit for each window, whether it also starts in a smaller document."""
     number: dict[bytes, int] = {}
-    which = [np.array([number.setdefault(c, len(number)) for c in contents], np.int64) for contents, _, _ in rows]
+    which = [np.fromiter((number.setdefault(c, len(number)) for c in contents), np.int64, len(contents)) for contents, _, _ in rows]
+    if not number:
+        return [np.zeros(0, bool) for _ in rows]
     least = np.full(len(number), np.iinfo(np.int64).max)
     for w, (_, docs, _) in zip(which, rows, strict=True):
         np.minimum.at(least, w, docs)

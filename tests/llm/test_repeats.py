@@ -109,7 +109,8 @@ def test_kept_text(spark):
     assert {r.doc_id: r.kept for r in phrases.repeats(frame(spark, words), with_text=True).collect()} == {1: words[0][1], 2: "before after"}
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("window", [50, 31, 8, 3])
+def test_suffix_array_and_prefixes(window):
     r = random.Random(2)
     parts = [bytes(r.choice(b"ab\0") for _ in range(r.randint(50, 90))) for _ in range(40)]
     parts += [p[:55] for p in parts[:10]] + [b"a" * 70]
@@ -117,15 +118,14 @@ def test_suffix_array_and_prefixes():
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(parts) + bytes(66), np.uint8)
     end = np.repeat(ends, sizes)
-    order = suffixes.suffix_array(data, end, int(sizes.max()))
-    suffix = [data[i : end[i]].tobytes() for i in range(len(end))]
-    assert [suffix[i] for i in order] == sorted(suffix)
-    keep = order[end[order] - order >= 50]
-    prefix = suffixes.kasai(data, ends - sizes, sizes - 49, keep, 50)
-    for k in range(1, len(keep)):
-        a, b = suffix[keep[k - 1]], suffix[keep[k]]
-        n = next((i for i in range(min(len(a), len(b), 50)) if a[i] != b[i]), min(len(a), len(b), 50))
-        assert prefix[k] == n
+    order = suffixes.suffix_array(data, end, window)
+    assert sorted(order.tolist()) == [i for i in range(len(end)) if end[i] - i >= window]
+    head = [data[i : i + window].tobytes() for i in order]
+    assert head == sorted(head)
+    prefix = suffixes.kasai(data, ends - sizes, sizes - window + 1, order, window)
+    for k in range(1, len(order)):
+        a, b = head[k - 1], head[k]
+        assert prefix[k] == next((i for i in range(window) if a[i] != b[i]), window)
 
 
 def test_blocks_merge_by_binary_search():
@@ -141,9 +141,56 @@ def test_blocks_merge_by_binary_search():
 
 def test_automata_shards():
     r = random.Random(6)
-    text = [r.choice("abc") for _ in range(400)]
-    rows = [([" ".join(text[s : s + 26]).encode() for s in range(k, k + 40, 7)], np.full(6, k), np.arange(6)) for k in (0, 30, 100)]
-    rows = [(c[:6], d, s) for c, d, s in rows]
-    whole = phrases.resolve(rows)
-    assert any(b.any() for b in whole)
-    assert all((a == b).all() for a, b in zip(whole, phrases.resolve(rows, most=3), strict=True))
+    text = "".join(r.choice("abc") for _ in range(400))
+    passages = [*{text[s : s + n] for s, n in [(3, 20), (3, 26), (50, 21), (200, 30), (210, 20), (380, 20)]}]
+    expected = {(i, s) for i, p in enumerate(passages) for s in range(len(text)) if text.startswith(p, s)}
+    for most in (1, 3, 100):
+        assert {(i, s) for found in phrases.occurrences(text, 1, passages, most) for i, s in zip(*(x.tolist() for x in found), strict=True)} == expected
+
+
+def test_wide_codes():
+    words = [[f"w{i}".encode() for i in range(30)], [b"w3", b"w4"]]
+    codes, _ = phrases.coded(words)
+    text = phrases.as_text(codes + 70_000, 2)
+    found = list(phrases.occurrences(text, 2, [phrases.as_text(codes[3:5] + 70_000, 2)]))
+    assert sorted(found[0][1].tolist()) == [3, 31]
+
+
+def test_unlike_windows_of_one_hash(monkeypatch):
+    monkeypatch.setattr(phrases, "gram_hashes", lambda codes, k: np.zeros(len(codes) - k + 1, np.uint64))
+    codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    kind = phrases.classes(codes, np.array([0, 1, 3, 6]), 3)
+    assert kind[0] == kind[3] and len({*kind.tolist()}) == 3
+
+
+def test_hot_passage_and_long_text(spark):
+    """One passage in a third of all documents, one anchor word around it, and texts of 20 MB without and with spaces."""
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{r.random()} {passage} {r.random()}" if i % 3 == 0 else f"{r.random()} " * 25) for i in range(300)]
+    df = frame(spark, rows)
+    assert got_phrases(df, chunk_bytes=2000, shard_bytes=4000) == brute_phrases(rows)
+    assert got_bytes(df, chunk_bytes=2000, shard_bytes=4000) == brute_bytes(rows)
+    unit = "".join(f"{r.random()}" for _ in range(55_000))
+    long = [(1, unit), (2, "x" * 1000 + unit * 20), (3, "a b " * 200_000)]
+    assert len(long[1][1]) > 19_000_000
+    found = {x[0]: x for x in got_bytes(frame(spark, long))}
+    assert found[1][2] == 0 and found[2][2] == 20 * len(unit) and found[3][2] == 0
+    found = {x[0]: x for x in got_phrases(frame(spark, long))}
+    assert found[3][1:3] == (400_000, 400_000 - 2) and found[2][2] == 0
+
+
+def test_parts_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffixes.passages, "PART_BYTES", 300)
+    rows = spliced(9)
+    df = frame(spark, rows)
+    assert got_phrases(df, chunk_bytes=4000, shard_bytes=60_000) == brute_phrases(rows)
+    assert got_bytes(df, chunk_bytes=4000, shard_bytes=60_000) == brute_bytes(rows)
+
+
+def test_rows_grow_with_the_input():
+    """Chunks times shards stays in proportion to the input beyond SCALE_BYTES."""
+    from quernstone.llm.passages import CHUNK_BYTES, SHARD_BYTES, counts_for
+
+    rows = lambda total: int(np.prod(counts_for(total, CHUNK_BYTES, SHARD_BYTES)))
+    assert rows(64 << 30) / rows(1 << 30) < 70 and rows(512 << 30) / rows(1 << 30) < 530
