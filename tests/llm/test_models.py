@@ -40,13 +40,37 @@ def test_topk_odd(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_topk_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 16)
+def test_topk_large_values(spark):
+    """Components beyond 2^25 (sums round in doubles) and up to 2^40 (products don't fit 64 bits)."""
+    r = random.Random(11)
+    rows = [(i, [float(r.choice([-1, 1]) * (2**25 + r.randrange(2**20))) for _ in range(4)]) for i in range(200)]
+    rows += [(200 + i, [r.choice([2.0**40, -(2.0**40), 2.0**20 + i, 0.5]), 2.0**r.randint(0, 14)]) for i in range(50) if i]
+    rows = [(i, v if i % 50 else [float(r.randrange(-(2**18), 2**18)) for _ in range(4)]) for i, v in rows]
+    rows = [(i, [x / 256 for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=64).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_topk(rows)
+
+
+def test_search_is_exact_where_sums_round():
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for size in (2**25, 2**40, 2**200):
+        x = np.floor(rng.uniform(-1, 1, (400, 4)) * size)
+        x[100:] = x[:300] + rng.integers(-1, 2, (300, 4))
+        q = np.floor(rng.uniform(-1, 1, (20, 4)) * size)
+        a, b, s = topk.search(np.arange(400), x, np.arange(1000, 1020), q, 5)
+        for i in range(20):
+            want = sorted((-sum(int(u) * int(v) for u, v in zip(q[i], w, strict=True)), j) for j, w in enumerate(x))[:5]
+            wrong += [(-int(v), int(j)) for j, v in zip(b[a == i], s[a == i], strict=True)] != want
+    assert wrong == 0
+
+
+def test_topk_shards(spark):
     r = random.Random(5)
     rows = [(i, [r.gauss(0, 0.1) for _ in range(12)]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(topk.build_index, "__defaults__", (16,))
-    got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=16).collect()
     assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_topk(rows)
 
 
