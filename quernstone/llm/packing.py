@@ -1,6 +1,7 @@
 """Best-fit-decreasing packing of token ids into sequences.
 
-A document is its token ids and one end id. Documents longer than a sequence are first cut into full windows; what is
+A document is its token ids by the JSON file of a byte-level vocabulary (added tokens that stand in the text are
+recognised, as the tokenizers library does) and one end id. Documents longer than a sequence are first cut into full windows; what is
 left over is a tail. Pieces are hashed into bins of bounded size, each bin is packed on its own, so no task sees the
 corpus and a lost executor costs its bins alone. In a bin, pieces go from long to short, each into the open sequence of
 the tightest room that still takes it. A segment tree over the room left (a count of open sequences at each room, sums
@@ -14,6 +15,7 @@ then start.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -29,7 +31,9 @@ from .common import bins_for, utf8
 SIZE = 2048
 END_ID = 1
 PIECES_PER_BIN = 20_000
-CACHE_UNITS = 400_000
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 200
+CACHED_UNIT = 256
 #: White space beyond ASCII, for which the quick split isn't safe (fixed values).
 OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: White space and what follows it: no pre-token crosses from a visible character into white space.
@@ -39,50 +43,73 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
 
-class _Units(dict):
-    """Unit -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit: bytes) -> bytes:
-        ids = array("I", self.encode(unit.decode("utf-8"))).tobytes()
-        self[unit] = ids
-        return ids
+class Units:
+    """Encodes texts by units, each distinct short unit once; ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): array("I", [i]).tobytes() for i, t in added.items()}
+        #: Tokens that look at their neighbours, or a normaliser, would need the whole text.
+        self.plain = self.tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a whole text."""
+        if not self.plain or not text.isascii() and OTHER_SPACE.search(text.decode("utf-8")):
+            return self.ids([text.decode("utf-8")])[0]
+        if self.split is None or b"<" not in text and not any(t in text for t in self.added):
+            return self.part(text)
+        return b"".join(self.added[p] if i % 2 else self.part(p) for i, p in enumerate(self.split.split(text)))
+
+    def part(self, text: bytes) -> bytes:
+        """Ids of a text without added tokens."""
+        units = UNIT.findall(text)
+        known = self.known
+        new = [u for u in {*units} if u not in known]
+        if new:
+            if self.size > CACHE_BYTES:
+                known.clear()
+                self.size, new = 0, [*{*units}]
+            short = [u for u in new if len(u) <= CACHED_UNIT]
+            known.update(zip(short, self.ids([u.decode("utf-8") for u in short]), strict=True))
+            self.size += sum(len(u) + ENTRY_BYTES for u in short)
+            if len(short) < len(new):
+                long = {u: self.ids([u.decode("utf-8")])[0] for u in new if len(u) > CACHED_UNIT}
+                return b"".join(long[u] if len(u) > CACHED_UNIT else known[u] for u in units)
+        return b"".join(map(known.__getitem__, units))
 
 
 @functools.cache
-def _units(name: str) -> _Units:
-    import base64
+def units_of(path: str) -> Units:
+    return Units(path)
 
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return _Units(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
+def default_path() -> str:
+    import public_tokenizers
 
-def encoded(text: bytes, name: str) -> bytes:
-    """Ids of a whole text. Texts are encoded by units, each distinct unit once."""
-    units = _units(name)
-    if len(units) > CACHE_UNITS:
-        units.clear()
-    if not text.isascii() and OTHER_SPACE.search(plain := text.decode("utf-8")):
-        return array("I", units.encode(plain)).tobytes()
-    return b"".join(map(units.__getitem__, UNIT.findall(text)))
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Tokenised documents cut into full windows and a tail, without their ids."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
+    """Tokenised documents cut into full windows and a tail, without their ids. path: the vocabulary's JSON file."""
+    path = path or default_path()
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = units_of(path).encode
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                ids = encoded(text, vocabulary) + end
+                ids = encode(text) + end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(size, n - at), zlib.crc32(ids[4 * at : 4 * (at + size)]), n) for at in range(0, n, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

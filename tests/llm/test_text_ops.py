@@ -113,7 +113,6 @@ def test_simhash_keep_one(spark):
 @pytest.fixture(scope="module")
 def reference_ids():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -139,7 +138,8 @@ def check_packing(rows, got, ids_of, fill=None):
 def test_packing(spark, sf, reference_ids):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check_packing([(r.doc_id, r.text) for r in docs.collect()], packing.packed(docs).collect(), reference_ids, 0.97)
-    check_packing(ODD, packing.packed(frame(spark, ODD)).collect(), reference_ids)
+    added = [(30, "a <|endoftext|> b"), (31, "foo<|endoftext|>bar<|endoftext|>"), (32, "<|endoftext|>"), (33, "x \n <|endoftext|>\u3000<|endoftext|  y<|<|endoftext|>"), (34, "z" * 5000 + " " + "9" * 700)]
+    check_packing([*ODD, *added], packing.packed(frame(spark, [*ODD, *added])).collect(), reference_ids)
     assert packing.packed(frame(spark, [])).count() == 0
 
 
@@ -215,3 +215,43 @@ def test_simhash_hot_buckets(spark):
         for r in simhash.components(simhash.near_links(table, hot_bucket=bound)).collect():
             got.setdefault(r.root, {r.root}).add(r.node)
         assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
+def test_unit_cache_is_bounded(monkeypatch, reference_ids):
+    units = packing.Units(packing.default_path())
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    text = " ".join(f"w{i} {'q' * (i % 400)}" for i in range(3000))
+    for _ in range(3):
+        assert array("I", units.encode(text.encode())).tolist() == reference_ids(text)
+    long = "abc1" * 250_000  # one unit of a million bytes
+    assert array("I", units.encode(long.encode())).tolist() == reference_ids(long)
+    assert max(map(len, units.known), default=0) <= packing.CACHED_UNIT
+
+
+def test_stitch_is_linear_and_spans_chunks(multi):
+    import time
+
+    import regex
+
+    pattern = regex.compile(P.PATTERN)
+    text = "ab 12  c's " * 300 + "z" * 4000 + " " * 900 + "end. " * 100 + "y" * 700
+    for size, overlap in ((64, 8), (500, 40), (17, 5)):
+        parts = [(s, s + len(x), [s + m.start() for m in pattern.finditer(x)]) for s, x in bpe.cut(text, size, overlap)]
+        assert bpe.stitch(text, parts, pattern).tolist() == [m.start() for m in pattern.finditer(text)]
+    seconds = []
+    for n in (1, 4):
+        long = "some words, 12 more. " * (100_000 * n)
+        parts = [(s, s + len(x), [s + m.start() for m in pattern.finditer(x)]) for s, x in bpe.cut(long, 32_768, 256)]
+        began = time.process_time()
+        bpe.stitch(long, parts, pattern)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * seconds[0] + 1
+
+
+def test_twenty_megabytes(spark, multi):
+    path, enc = multi
+    text = "word, 12 é\n" * 1_700_000 + "q" * 300_000
+    got = bpe.encode_documents(frame(spark, [(1, text), (2, "a")]), path, P.PATTERN).where("doc_id = 1").collect()
+    unit = enc.encode_ordinary("word, 12 é\n" * 17)
+    assert len(text.encode()) > 20_000_000 and got[0].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert abs(got[0].n_tokens - 100_000 * len(unit)) < 400_000
