@@ -19,9 +19,10 @@ import base64
 import functools
 import hashlib
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from .common import part_count
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 CACHE_TOKENS = 400_000
+CACHED_PIECE = 64
+PIECES = 1 << 16
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,28 +54,39 @@ class Codec:
     def starts(self, text: str) -> list[int]:
         return [m.start() for m in self.pattern.finditer(text)]
 
-    def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+    def pieces(self, text: str) -> Iterable[str]:
+        return self.pattern.findall(text) if len(text) <= CHUNK_CHARS else (m.group() for m in self.pattern.finditer(text))
 
     def encode(self, pieces: list[str]) -> bytes:
         """Ids of the pieces as little-endian unsigned 32-bit integers."""
         known = self.known
         if len(known) > CACHE_TOKENS:
             known.clear()
+        long = {}
         for p in {*pieces}:
             if p in known:
                 continue
             b = p.encode("utf-8")
             rank = self.ranks.get(b)
-            known[p] = array("I", [rank] if rank is not None else self.core._core_bpe.encode_single_piece(b)).tobytes()
+            ids = array("I", [rank] if rank is not None else self.core._core_bpe.encode_single_piece(b)).tobytes()
+            (known if len(p) <= CACHED_PIECE else long)[p] = ids  # the cache stays bounded in bytes too
+        if long:
+            return b"".join([long[p] if p in long else known[p] for p in pieces])
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
-    def row(self, doc_id, pieces: list[str]) -> tuple:
-        ids = self.encode(pieces)
-        return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def row(self, doc_id, pieces: Iterable[str]) -> tuple:
+        """Digests of a document, of PIECES pieces at a time."""
+        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+        pieces = iter(pieces)
+        while some := [*islice(pieces, PIECES)]:
+            ids = self.encode(some)
+            n += len(ids) // 4
+            ids_hash.update(ids)
+            text_hash.update(self.decode(ids))
+        return doc_id, n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 @functools.cache
@@ -85,20 +99,24 @@ def cut(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
     return [(at, text[at : at + size]) for at in range(0, max(1, len(text) - overlap), size - overlap)]
 
 
-def stitch(text: str, chunks: list[tuple[int, int, list[int]]], pattern) -> list[int]:
-    """Boundaries of the whole text from (start, end, boundaries) of its chunks, all as offsets in the text."""
-    kept = chunks[0][2]
-    for start, _, fresh in chunks[1:]:
+def stitch(text: str, chunks: list[tuple[int, int, list[int]]], pattern) -> array:
+    """Boundaries of the whole text from (start, end, boundaries) of its chunks, all as offsets in the text. Linear."""
+    kept = array("q", chunks[0][2])
+    for start, end, fresh in chunks[1:]:
         ahead = set(fresh)
-        i = np.searchsorted(kept, start)
-        meet = next((p for p in kept[i:] if p in ahead), None)
+        meet = next((p for p in kept[bisect_left(kept, start) :] if p in ahead), None)
         if meet is None:  # the last pre-token so far ran into its chunk's end: scan on from its start
             at = kept.pop()
-            while at not in ahead and at < len(text):
+            while at < end and at not in ahead:
                 kept.append(at)
                 at = pattern.match(text, at).end()
+            if at >= end:  # nothing of this chunk agrees; the next one goes on from here
+                if at < len(text):
+                    kept.append(at)
+                continue
             meet = at
-        kept = kept[: np.searchsorted(kept, meet)] + fresh[np.searchsorted(fresh, meet) :]
+        del kept[bisect_left(kept, meet) :]
+        kept.extend(fresh[bisect_left(fresh, meet) :])
     return kept
 
 
@@ -133,12 +151,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         t = t.sort_by("start")
         copies = t["start"].to_pylist().count(0)
         one = {s: (x, b) for s, x, b in zip(t["start"].to_pylist(), t["chunk"].to_pylist(), t["bounds"].to_pylist(), strict=True)}
-        text, parts = "", []
+        had, fresh, parts = 0, [], []
         for s, (x, b) in one.items():
-            text += x[len(text) - s :]
-            parts.append((s, s + len(x), [s + p for p in array("q", b)]))
-        at = [*stitch(text, parts, c.pattern), len(text)]
-        row = c.row(t["doc_id"][0].as_py(), [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+            fresh.append(x[had - s :])
+            had = s + len(x)
+            parts.append((s, had, [s + p for p in array("q", b)]))
+        text = "".join(fresh)
+        at = stitch(text, parts, c.pattern)
+        at.append(len(text))
+        row = c.row(t["doc_id"][0].as_py(), (text[a:b] for a, b in pairwise(at)))
         return pa.Table.from_batches([_rows([row] * copies)])
 
     whole = docs.where(F.length("text") <= chunk_chars).mapInArrow(short, OUT)
