@@ -36,19 +36,19 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, part_count, scratch
 
 MIN_REVISIT = 100
+NULL_PAGE = -(1 << 64)
 BLOCK_LINES = 1000
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: profile of a revisit record with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key binary, page_id long, file string, offset long, length long"
-BLOCKS = "part_key binary, part int, file string, dir_offset long, dir_length long"
+BLOCKS = "part_key binary, part_page long, file string, dir_offset long, dir_length long"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -106,15 +106,17 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """Pages with digest, first page of the payload and whether the record is a revisit. Only ids and digests meet in
-    the skewed join on the digest, which Spark splits; the texts join once, on the page id."""
+    """Pages with digest, first page of the payload and whether the record is a revisit. Ids and digests, each pair
+    once, meet in the skewed join on the digest; nothing above it needs its partitioning, so Spark splits a hot digest. The
+    texts join once, on the page id."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2("html", 256))
     small = pages.where(F.octet_length("html") >= MIN_REVISIT).select("page_id", "url", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     target = first.join(small.select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "url"), (F.col("digest") == F.col("d")) & (F.col("first") == F.col("p")))
     first = checkpointed(target.groupBy("digest", "first").agg(F.min("url").alias("target")))
-    again = small.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first", "target").dropDuplicates(["r_id", "r_digest"])
+    once = small.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest")).distinct()
+    again = once.join(first, F.col("r_digest") == F.col("digest")).where(~F.col("r_id").eqNullSafe(F.col("first"))).select("r_id", "r_digest", "first", "target")
     return pages.join(again, pages["page_id"].eqNullSafe(again["r_id"]) & (pages["digest"] == again["r_digest"]), "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"), "target", F.col("r_digest").isNotNull().alias("revisit"))
 
 
@@ -153,13 +155,13 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _at(folder)
         lines: list[bytes] = []
-        directory, at, out, name, first = [], 0, None, "", b""
+        directory, at, out, name, first = [], 0, None, "", (b"", None)
 
         def flush() -> None:
             nonlocal at
             block = _gzip(b"\n".join(lines), 6)
             out.write(block)
-            directory.append((lines[0].split(b" ", 1)[0].decode(), at, len(block)))
+            directory.append((*lines[0].decode().split(" ")[:2], at, len(block)))
             at += len(block)
             lines.clear()
 
@@ -167,7 +169,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             for key, page_id, file, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    name, first = f"{uuid.uuid4().hex}.cdx", key
+                    name, first = f"{uuid.uuid4().hex}.cdx", (key, page_id)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 lines.append(f"{key.hex()} {'' if page_id is None else page_id} {file} {offset} {length}".encode())
                 if len(lines) >= block_lines:
@@ -178,7 +180,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             tail = _gzip(json.dumps(directory).encode(), 6)
             out.write(tail)
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((first, TaskContext.get().partitionId(), name, at, len(tail)), (pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part_key", "part", "file", "dir_offset", "dir_length"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*first, name, at, len(tail)), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part_key", "part_page", "file", "dir_offset", "dir_length"])
 
     n = part_count(captures)
     ordered = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
@@ -188,10 +190,11 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 class Reader:
     """Lookups from one task; keeps the last directories, blocks and resolved payloads."""
 
-    def __init__(self, folder: str, parts: list[tuple[bytes, int, str, int, int]]):
+    def __init__(self, folder: str, parts: list[tuple[bytes, int | None, str, int, int]]):
         self.fs, self.base = _at(folder)
-        self.parts = [(key, *place) for key, _, *place in sorted(parts)]  # a key may go on over several parts, in order
-        self.firsts = [p[0] for p in self.parts]
+        found = sorted(((key, _page(page)), *place) for key, page, *place in parts)
+        self.parts = [tuple(place) for _, *place in found]
+        self.firsts = [f[0] for f in found]
         self.handles: OrderedDict[str, pa.NativeFile] = OrderedDict()
         self.kept: OrderedDict[tuple, object] = OrderedDict()
 
@@ -211,8 +214,9 @@ class Reader:
             self.kept[key] = make()
         return self.kept[key]
 
-    def directory(self, part: tuple[bytes, str, int, int]) -> list[tuple[bytes, int, int]]:
-        return self._once(("dir", part[1]), lambda: [(bytes.fromhex(k), o, n) for k, o, n in json.loads(zlib.decompress(self.range(part[1], part[2], part[3]), 31))])
+    def directory(self, file: str, offset: int, length: int) -> list[tuple[tuple[bytes, int], int, int]]:
+        """First key and page, offset and length of each block."""
+        return self._once(("dir", file), lambda: [((bytes.fromhex(k), _page(int(p) if p else None)), o, n) for k, p, o, n in json.loads(zlib.decompress(self.range(file, offset, length), 31))])
 
     def block(self, file: str, offset: int, length: int) -> list[tuple[bytes, int | None, str, int, int]]:
         def make():
@@ -221,20 +225,21 @@ class Reader:
 
         return self._once((file, offset), make)
 
-    def find(self, key: bytes) -> Iterator[tuple[bytes, int | None, str, int, int]]:
-        """All captures of a key: from the last block that begins before it, onwards while blocks begin at or before it."""
-        for i in range(max(0, bisect.bisect_left(self.firsts, key) - 1), len(self.parts)):
-            if self.firsts[i] > key:
+    def find(self, key: bytes, page_id: int | None = None) -> Iterator[tuple[bytes, int | None, str, int, int]]:
+        """Captures of a key, from page_id on where it is given, in order of pages: the last block that begins before them,
+        and on while blocks begin with the key. Parts, directories and blocks are each searched by key and page."""
+        low = (key, _page(page_id))
+        for i in range(max(0, bisect.bisect_left(self.firsts, low) - 1), len(self.parts)):
+            if self.firsts[i][0] > key:
                 return
-            directory = self.directory(self.parts[i])
-            firsts = [d[0] for d in directory]
-            for j in range(max(0, bisect.bisect_left(firsts, key) - 1), len(directory)):
-                if firsts[j] > key:
+            directory = self.directory(*self.parts[i])
+            for j in range(max(0, bisect.bisect_left(directory, low, key=lambda d: d[0]) - 1), len(directory)):
+                if directory[j][0][0] > key:
                     return
-                rows = self.block(self.parts[i][1], *directory[j][1:])
-                for k in range(bisect.bisect_left(rows, key, key=lambda r: r[0]), len(rows)):
+                rows = self.block(self.parts[i][0], *directory[j][1:])
+                for k in range(bisect.bisect_left(rows, low, key=lambda r: (r[0], _page(r[1]))), len(rows)):
                     if rows[k][0] != key:
-                        break
+                        return
                     yield rows[k]
 
     def record(self, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -244,19 +249,25 @@ class Reader:
         """Length and digest of the response that a revisit refers to."""
 
         def make():
-            for _, p, file, offset, length in self.find(key):
-                if p == page_id:
-                    headers, payload = self.record(file, offset, length)
-                    if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] == f"sha256:{digest}":
-                        return len(payload), hashlib.sha256(payload).hexdigest()
+            for _, p, file, offset, length in self.find(key, page_id):
+                if p != page_id:
+                    break
+                headers, payload = self.record(file, offset, length)
+                if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] == f"sha256:{digest}":
+                    return len(payload), hashlib.sha256(payload).hexdigest()
             raise LookupError(f"no response of page {page_id}")
 
         return self._once(("payload", key, page_id, digest), make)
 
 
-def _parts(index: DataFrame) -> list[tuple[bytes, int, str, int, int]]:
+def _page(page_id: int | None) -> int:
+    """Page ids in order, null first."""
+    return NULL_PAGE if page_id is None else page_id
+
+
+def _parts(index: DataFrame) -> list[tuple[bytes, int | None, str, int, int]]:
     """Level one of the index: one row a partition of the write."""
-    return [(bytes(r.part_key), r.part, r.file, r.dir_offset, r.dir_length) for r in index.collect()]
+    return [(bytes(r.part_key), r.part_page, r.file, r.dir_offset, r.dir_length) for r in index.collect()]
 
 
 def read_back(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
@@ -274,7 +285,7 @@ def read_back(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
         reader = Reader(folder, parts)
         for b in batches:
             for name, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = reader.directory((b"", name, offset, length))
+                found = reader.directory(name, offset, length)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["file", "offset", "length"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,18 @@ def test_lookup(spark, sf):
 def test_surt():
     assert warc.surt("https://www.Example.com/a?b=1") == b"com,example,www)/a?b=1"
     assert warc.surt("http://example.com:8080") == b"com,example:8080)/"
+
+
+def test_hot_payload_and_key(spark):
+    """A third of the pages share a payload and the empty key, over many blocks and parts."""
+    rows = [(i, None if i % 3 else f"http://h{i}.example/", "same " * 40 if i % 3 == 1 else f"page {i} " * 20) for i in range(400, 0, -1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert rows_of(warc.archive_round_trip(df)) == expected(rows)
+    folder = common.scratch(spark, "warc")
+    index = warc.write_index(warc.write_archives(df, folder), folder, block_lines=7)
+    reader = warc.Reader(folder, warc._parts(index))
+    empty = sorted(i for i, u, _ in rows if u is None)
+    assert [x[1] for x in reader.find(b"")] == empty
+    for i in (1, 5, 250, 400):
+        assert [x[1] for x in reader.find(b"", i)] == [x for x in empty if x >= i]
+    assert rows_of(warc.read_back(spark, index, folder)) == expected(rows)
