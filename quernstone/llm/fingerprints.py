@@ -12,8 +12,8 @@ Defined results: null text counts as empty; a text without words has the all-zer
 digit "0") and equals others of that kind; equal texts have equal fingerprints; repeated rows give repeated results; rows of equal
 doc_id are ordered by text, null ids come first; other columns are ignored.
 
-The next document by ascending doc_id is found without a global window: rows are grouped by doc_id div SPAN (at most SPAN distinct
-ids in a group), and a group gets the first document of the next group as a ghost row. The order of groups is found the
+The next document by ascending doc_id is found without a global window: rows are grouped by ranges of ids, of equal width
+and of some SPAN rows each (ids may be dense or spread over all longs), and a group gets the first document of the next group as a ghost row. The order of groups is found the
 same way over the groups' first ids, so the single-task window at the top sees one row per SPAN squared documents.
 """
 
@@ -73,10 +73,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - 1 / DIGITS) / (1 - 1 / DIGITS))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", span: int = SPAN) -> DataFrame:
+def span_of(docs: DataFrame, id_col: str = "doc_id") -> int:
+    """Width of a group's range of ids: SPAN for dense ids, so much more for sparse ones that a group has some SPAN rows."""
+    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    return SPAN if not n else min(1 << 62, max(SPAN, (high - low) // -(-n // SPAN) + 1))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds _group and ghost rows (_ghost = 1) so that lead() over a group meets every row's successor."""
+    span = span_of(docs, id_col)
     docs = docs.withColumn("_group", F.expr(f"`{id_col}` div {span}"))
-    first = docs.groupBy("_group").agg(F.min(id_col).alias("_first")).withColumn("_super", F.expr(f"_group div {span}"))
+    first = docs.groupBy("_group").agg(F.min(id_col).alias("_first")).withColumn("_super", F.expr(f"_group div {SPAN}"))
     first = checkpointed(first)
     whole = Window.orderBy(F.col("_super").asc_nulls_first())
     after = first.groupBy("_super").agg(F.min("_group").alias("_least")).select(

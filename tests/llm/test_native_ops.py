@@ -99,3 +99,18 @@ def test_native_plans(spark, sf):
     for df in (licenses.scan(docs), fingerprints.fingerprint_documents(docs)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and F
+
+
+def test_sparse_ids(spark):
+    """Ids spread over all longs make as many groups as dense ones."""
+    ids = [((i * 0x9E3779B97F4A7C15 + 5) % (1 << 64)) - (1 << 63) for i in range(3000)]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    assert fingerprints.with_next(df).where("_ghost = 0").select("_group").distinct().count() <= 4
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_documents(df).collect()}
+    ordered = sorted(ids)
+    import hashlib
+
+    for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        t = f"text {a}"
+        tail = len(t) // 4
+        assert got[a] == hashlib.sha256((t[: len(t) - tail] + f"text {b}"[:tail]).encode()).hexdigest()
