@@ -4,7 +4,7 @@ Six heuristic labellers vote good, bad or nothing on every document. Expectation
 class-conditional accuracies and the class balance without any true label; no vote counts as missing. Its sufficient statistic is the count
 of every vote pattern over all documents, of which there are at most 3^6 whatever the size of the corpus, so the counts
 are exact and the fit runs on the driver. The posteriors label a linear scorer over 2^16 hashed features (byte trigrams
-and bucketed shape features), fitted on the TRAIN_ROWS documents with the smallest hash of their id (a documented bound);
+and bucketed shape features), fitted on the TRAIN_ROWS documents with the smallest hash of id and text (a documented bound; rows that agree in both are one);
 it then scores every document from its whole text.
 
 Defined results: null text counts as empty; a document without words gets no votes and is scored like any other by its
@@ -130,9 +130,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np
     """(weights, posterior by pattern, vote probabilities) from the documents alone."""
     counts = {r.pattern: r.n for r in patterns(docs).collect()}  # 3^6 rows at most
     _, table, posterior = expectation_maximisation(counts)
-    order = F.xxhash64("doc_id", F.lit("quality"))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(order, "doc_id").limit(train_rows)
-    sample = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
+    marked = docs.where("doc_id IS NOT NULL").withColumn("_order", F.xxhash64("doc_id", "text"))
+    chosen = marked.select("_order").orderBy("_order").limit(train_rows).distinct()  # train_rows numbers at most
+    sample = marked.join(F.broadcast(chosen), "_order", "left_semi").dropDuplicates(["_order"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
