@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, checkpointed, mix, part_count, runs, utf8
@@ -58,6 +58,11 @@ def simhash(text: bytes, words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -162,6 +167,20 @@ def near_links(distinct: DataFrame, most: int = MAX_DISTANCE, hot_bucket: int =
     cuts = [64 * i // n for i in range(n + 1)]
     block = [F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)]
     keys = [F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(n), 2))]
+    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    hot = None
+    if most == 2:
+        large = checkpointed(rows.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
+        if many := large.count():
+            large = F.broadcast(large) if many <= BROADCAST_KEYS else large
+            hot = ball_links(rows.join(large, "key", "left_semi").select("fp").distinct())
+            rows = rows.join(large, "key", "left_anti")
+    links = rows.repartition(part_count(distinct), "key").sortWithinPartitions("key", "fp").mapInArrow(bucket_rows(most), "u long, v long")
+    return (links if hot is None else links.union(hot)).distinct()
+
+
+def bucket_rows(most: int):
+    """For mapInArrow: star edges of each bucket from rows (key, fp) in order of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -180,16 +199,7 @@ def near_links(distinct: DataFrame, most: int = MAX_DISTANCE, hot_bucket: int =
         if len(held_k):
             yield out(held_k, held_f)
 
-    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    hot = None
-    if most == 2:
-        large = checkpointed(rows.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
-        if many := large.count():
-            large = F.broadcast(large) if many <= BROADCAST_KEYS else large
-            hot = ball_links(rows.join(large, "key", "left_semi").select("fp").distinct())
-            rows = rows.join(large, "key", "left_anti")
-    links = rows.repartition(part_count(distinct), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
-    return (links if hot is None else links.union(hot)).distinct()
+    return run
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -236,7 +246,11 @@ def one_of_each(docs: DataFrame, grouping: Callable[[DataFrame, str, str], DataF
     found = grouping(keyed, "_row", text_col).select(F.col("row").alias("_row"), F.col("root").alias("_root")).distinct()
     ids = keyed.select("_row", number.alias("_id")).distinct()
     best = found.join(ids, "_row").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best"))
-    return keyed.join(best.select("_best._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = keyed.join(best.select("_best._row"), "_row", "left_semi")
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    first = Window.partitionBy("_row").orderBy(tie)  # rows of one id and text: the same one at every attempt
+    return kept.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_row", "_rank")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -47,10 +48,10 @@ def families():
     return texts
 
 
-@pytest.mark.parametrize("hot_bucket", [2, 4096])
-def test_groups_are_those_of_brute_force(spark, families, hot_bucket):
+@pytest.mark.parametrize(("hot_bucket", "hot_cluster"), [(2, 3), (4096, 2048)])
+def test_groups_are_those_of_brute_force(spark, families, hot_bucket, hot_cluster):
     df = spark.createDataFrame(list(enumerate(families)), "row long, text string")
-    root = {r.row: r.root for r in similar.groups(df, "row", "text", hot_bucket).collect()}
+    root = {r.row: r.root for r in similar.groups(df, "row", "text", hot_bucket, hot_cluster).collect()}
     assert split([root[i] for i in range(len(families))]) == split(brute_groups(families))
 
 
@@ -72,3 +73,22 @@ def test_keep_one_odd_ids(spark, keep_one):
     rows = [(None, "a lone text that has no id at all"), (7, "first of two unlike texts under one id"), (7, "the second has nothing in common with it"), (8, "x y z w"), (None, "x y z w"), (8, "x y z w")]
     got = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for i, t in rows[:4])
+
+
+def test_radius_holds_similar_sets():
+    """Sets at a similarity of 0.8 stay within the radius that chooses pairs."""
+    rng = np.random.default_rng(1)
+    lost = 0
+    for size in (9, 45, 450):
+        for _ in range(2000):
+            both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            own = rng.integers(0, 1 << 63, size // 4, dtype=np.uint64)
+            a, b = np.concatenate((both, own[: len(own) // 2])), np.concatenate((both, own[len(own) // 2 :]))
+            lost += (simhash.majority(a) ^ simhash.majority(b)).bit_count() > similar.RADIUS
+    assert lost <= 3
+
+
+def test_columns_break_ties(spark):
+    rows = [(1, "same words here", "b"), (1, "same words here", "a"), (2, "other words", "c")]
+    a, b = (similar.keep_one(spark.createDataFrame(x, "doc_id long, text string, tag string")).collect() for x in (rows, rows[::-1]))
+    assert sorted(a) == sorted(b) and len(a) == 2

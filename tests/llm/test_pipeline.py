@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 from quernstone.llm import quality
+from tests.llm.test_near_copies import brute_groups, split
 from tests.llm.test_repeats import keyed
-from tests.llm.test_text_ops import brute_components, check_packing, reference_ids  # noqa: F401
+from tests.llm.test_text_ops import check_packing, reference_ids  # noqa: F401
 
 
 def brute_strip(rows, w=50):
@@ -39,7 +40,8 @@ def test_stages(spark, sf, tmp_path, reference_ids):  # noqa: F811
     before, after = kept[names[0]]
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in quality.classify(before).where("keep").collect()}
     before, after = kept[names[1]]
-    assert sorted(r.doc_id for r in after.collect()) == sorted(i for _, i, _, c in brute_components(pairs(before)) if i == c)
+    rows = pairs(before)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(min(rows[i][0] for i in g) for g in split(brute_groups([t for _, t in rows])))
     before, after = kept[names[2]]
     assert dict(pairs(after)) == brute_strip(pairs(before)) and all(r.n_chars == len(r.text) for r in after.collect())
     before, after = kept[names[3]]
