@@ -15,11 +15,12 @@ then start.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import bins_for, utf8
 SIZE = 2048
 END_ID = 1
 PIECES_PER_BIN = 20_000
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 CACHED_UNIT = 256
 #: White space beyond ASCII, for which the quick split isn't safe (fixed values).
@@ -43,8 +44,49 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in {*seen}]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranked(path: str) -> dict[bytes, int] | None:
+    """Ranks of a JSON file's tokens, if its merges stand in the order of the ids they make (then ranks say the same)."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, split = whole["model"], whole["pre_tokenizer"]
+    vocab = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if not plain or whole["normalizer"] or made != sorted({*made}) or {*vocab.values()} - {*made} != {*range(256)} or len(vocab) != 256 + len(made):
+        return None
+    alphabet = byte_alphabet()
+    return {bytes(map(alphabet.__getitem__, token)): i for token, i in vocab.items()}
+
+
+class Known(dict):
+    """Unit -> its ids. Long units aren't kept, so the size in bytes is bounded."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode, self.size = encode, 0
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = self.encode(unit)
+        if len(unit) <= CACHED_UNIT:
+            self[unit] = ids
+            self.size += len(unit) + ENTRY_BYTES
+        return ids
+
+
 class Units:
-    """Encodes texts by units, each distinct short unit once; ids as little-endian unsigned 32-bit integers."""
+    """Encodes texts by units, each distinct short unit once; ids as little-endian unsigned 32-bit integers.
+
+    Where ranked() shows that the ranks say the same as the file's merges, units are encoded by tiktoken's core, which takes a
+    third of the time of tokenizers; else by tokenizers.
+    """
 
     def __init__(self, path: str):
         import tokenizers
@@ -56,36 +98,37 @@ class Units:
         #: Tokens that look at their neighbours, or a normaliser, would need the whole text.
         self.plain = self.tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
-        self.known: dict[bytes, bytes] = {}
-        self.size = 0
+        self.known = Known(lambda unit: self.ids([unit.decode("utf-8")])[0])
+        self.core = None
+        if ranks := ranked(path):
+            import public_tokenizers
+            import tiktoken
+
+            self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        if self.core:
+            return [array("I", x).tobytes() for x in map(self.core.encode_ordinary, texts)]
+        return self.whole(texts)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text."""
         if not self.plain or not text.isascii() and OTHER_SPACE.search(text.decode("utf-8")):
-            return self.ids([text.decode("utf-8")])[0]
+            return self.whole([text.decode("utf-8")])[0]
         if self.split is None or b"<" not in text and not any(t in text for t in self.added):
             return self.part(text)
         return b"".join(self.added[p] if i % 2 else self.part(p) for i, p in enumerate(self.split.split(text)))
 
     def part(self, text: bytes) -> bytes:
         """Ids of a text without added tokens."""
-        units = UNIT.findall(text)
-        known = self.known
-        new = [u for u in {*units} if u not in known]
-        if new:
-            if self.size > CACHE_BYTES:
-                known.clear()
-                self.size, new = 0, [*{*units}]
-            short = [u for u in new if len(u) <= CACHED_UNIT]
-            known.update(zip(short, self.ids([u.decode("utf-8") for u in short]), strict=True))
-            self.size += sum(len(u) + ENTRY_BYTES for u in short)
-            if len(short) < len(new):
-                long = {u: self.ids([u.decode("utf-8")])[0] for u in new if len(u) > CACHED_UNIT}
-                return b"".join(long[u] if len(u) > CACHED_UNIT else known[u] for u in units)
-        return b"".join(map(known.__getitem__, units))
+        if self.known.size > CACHE_BYTES:
+            self.known.clear()
+            self.known.size = 0
+        return b"".join(map(self.known.__getitem__, UNIT.findall(text)))
 
 
 @functools.cache
