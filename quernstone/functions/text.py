@@ -12,12 +12,13 @@ ACCENTED = "ąćęłńóśźżàâäáãåçéèêëíìîïñôöòõúùûüý
 PLAIN = "acelnoszzaaaaaaceeeeiiiinooooouuuuyy"
 #: Fixed values.
 SUPERSCRIPTS = "¹²³⁰⁴⁵⁶⁷⁸⁹"
+#: Signs of Roman numerals, Polish months, ordinal and structural words, bullets and dashes.
 LETTERS = r"\p{L}"
 ROMAN = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
 MONTHS = ["stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia"]
 ORDINAL_WORDS = ["pierwsza", "druga", "trzecia", "czwarta", "piąta", "szósta", "siódma", "ósma", "dziewiąta", "dziesiąta", "ogólna", "szczególna", "wojskowa"]
 STRUCTURAL = {"KSIĘGA": "book", "CZĘŚĆ": "part", "DZIAŁ": "division", "ROZDZIAŁ": "chapter", "ODDZIAŁ": "subchapter"}
-BULLETS = ["•", "▪", "◦", "‣", "*", "●", "■", "□", "○", "✓", "✔"]
+BULLETS = ["•", "▪", "◦", "‣", "*", "●", "■", "□", "○", "✓", "✔", "\uf0b7", "\uf0a7", "\uf0d8", "\uf076", "\uf0fc", "\uf06e", "\uf0a8"]
 DASHES = ["–", "—", "-"]
 
 
@@ -38,10 +39,17 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def roman_value(c: Column) -> Column:
-    """Value of a Roman numeral, read from the right."""
-    digits = F.transform(F.reverse(F.split(F.lower(c), "")), lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k in (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000)) for v in k]), x), F.lit(0)))
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("top"))
-    return F.aggregate(digits, start, lambda s, v: F.struct((s["total"] + F.when(v < s["top"], -v).otherwise(v)).alias("total"), F.greatest(s["top"], v).alias("top")), lambda s: s["total"])
+    """Sum of the signs, those before a larger one taken off. Says nothing of the form: see is_roman."""
+    value = F.create_map(*[F.lit(x) for v, sign in ROMAN if len(sign) == 1 for x in (sign, v)])
+    signs = F.transform(F.split(F.lower(c), ""), lambda x: F.coalesce(F.element_at(value, x), F.lit(0)))
+    signed = F.zip_with(signs, F.slice(signs, 2, 100), lambda x, after: F.when(x < after, -x).otherwise(x))
+    return F.aggregate(signed, F.lit(0), lambda total, x: total + x)
+
+
+def is_roman(c: Column, most: int = 3999) -> Column:
+    """Whether a numeral is well formed: it is what its value is written as."""
+    n = roman_value(c)
+    return n.between(1, most) & (to_roman(n) == F.lower(c))
 
 
 def to_roman(n: Column) -> Column:
@@ -53,15 +61,20 @@ def to_roman(n: Column) -> Column:
     return F.concat(*parts)
 
 
-_PAGE = [(r"^(\d{1,3})$"), (r"^[-–—]\s*(\d{1,4})\s*[-–—]$"), (r"^(\d{1,4})\s*/\s*\d{1,4}$"), (r"(?i)^strona\s+(\d{1,4})(?:\s+z\s+\d{1,4})?$"), (r"(?i)^str\.\s*(\d{1,4})$"), (r"(?i)^s\.\s*(\d{1,4})(?:\s*/\s*\d{1,4})?$")]
-_ROMAN_FORM = r"(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+#: What is left of a page mark when # stands for its numbers, and how many digits the first may have.
+PAGE_MARKS = {"#": 3, "-#-": 4, "#/#": 4, "strona #": 4, "strona # z #": 4, "str.#": 4, "s.#": 4, "s.#/#": 4}
 
 
 def page_number(c: Column) -> Column:
     """Number of a lone page mark, null where the text isn't one."""
     t = F.trim(c)
-    tries = [F.when(t.rlike(p), F.regexp_extract(t, p, 1).cast("int")) for p in _PAGE]
-    return F.coalesce(*tries, F.when((t != "") & t.rlike(_ROMAN_FORM), roman_value(t)))
+    mark = F.regexp_replace(F.translate(F.lower(t), "–—", "--"), r"\s*([-/.])\s*", "$1")
+    mark = F.regexp_replace(F.regexp_replace(mark, r"\s+", " "), r"[0-9]+", "#")
+    runs = F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in PAGE_MARKS.items() for x in kv]), mark)
+    first = F.get(runs, F.lit(0))
+    fits = (F.length(first) <= most) & F.forall(runs, lambda x: F.length(x) <= 4)
+    return F.when(fits, first.cast("int")).when(is_roman(t), roman_value(t))
 
 
 def page_of_total(c: Column) -> tuple[Column, Column]:
@@ -82,28 +95,51 @@ def hyphen_join(end: Column, following: Column, exceptions: list[str] = []) -> C
     return F.when(web, "KEEP").when((prefix == "") | (word == ""), "NONE").when(keep, "KEEP").otherwise("REMOVE")
 
 
+def _is_unit_number(c: Column) -> Column:
+    """Digits, up to three letters, superscripts."""
+    plain = F.regexp_replace(c, f"[{SUPERSCRIPTS}]+$", "")
+    letters = F.ltrim(F.translate(plain, "0123456789", ""))
+    return plain.rlike("^[0-9]") & plain.endswith(letters) & letters.rlike("^[a-z]{0,3}$")
+
+
+def _numerals(c: Column) -> tuple[Column, Column]:
+    """(Roman of up to seven signs, up to four digits), each with a letter after it or not."""
+    base = F.when(F.length(c) > 1, F.regexp_replace(c, "[a-z]$", "")).otherwise(c)
+    made_of = lambda signs, most: F.length(base).between(1, most) & (F.translate(base, signs, "") == "")
+    return made_of("IVXLC", 7), made_of("0123456789", 4)
+
+
 def legal_unit(c: Column) -> Column:
-    """struct(kind, designation, number, rest, prefix), null where the line opens no unit."""
+    """struct(kind, designation, number, rest, prefix), null where the line opens no unit.
+
+    The line is cut into an opening bracket, a sign or word, the token after it and the rest; each is tested on its own.
+    """
     t = F.trim(c)
-    prefix = F.when((F.length(t) > 1) & t.rlike(r"^[\[<]"), F.substring(t, 1, 1)).otherwise("")
-    u = F.when(prefix != "", F.substr(t, F.lit(2))).otherwise(t)
-    n = rf"(\d+[a-z]{{0,3}}[{SUPERSCRIPTS}]*)"
-    article, paragraph, bare = rf"^Art\.\s*{n}\.(?=\s|$)", rf"^§\s*{n}\.(?=\s|$)", rf"^§\s*{n}$"
-    words = "|".join([*STRUCTURAL, *(w.capitalize() for w in STRUCTURAL)])
-    structural = rf"^({words})\s+([\p{{L}}\d]+)(?=\s|\.|$)"
-    word, number = F.regexp_extract(t, structural, 1), F.regexp_extract(t, structural, 2)
-    kind = F.element_at(F.create_map(*[F.lit(v) for kv in STRUCTURAL.items() for v in kv]), F.upper(word))
-    roman, arabic = number.rlike(r"^[IVXLC]{1,7}[a-z]?$"), number.rlike(r"^\d{1,4}[a-z]?$")
-    valid = F.when(kind.isin("book", "part"), roman | F.lower(number).isin(ORDINAL_WORDS)).otherwise(roman | arabic)
-    rest = lambda s, p: F.regexp_replace(F.trim(F.regexp_replace(s, p, "")), r"^\.\s*", "")
-    make = lambda k, d, num, r, pre: F.struct(k.alias("kind"), d.alias("designation"), num.alias("number"), r.alias("rest"), pre.alias("prefix"))
-    number_of = lambda p: F.regexp_extract(u, p, 1)
-    return (
-        F.when(u.rlike(article), make(F.lit("article"), F.concat(F.lit("Art. "), number_of(article)), number_of(article), rest(u, article), prefix))
-        .when(u.rlike(paragraph), make(F.lit("paragraph"), F.concat(F.lit("§ "), number_of(paragraph)), number_of(paragraph), rest(u, paragraph), prefix))
-        .when(u.rlike(bare) & (prefix == ""), make(F.lit("paragraph"), F.concat(F.lit("§ "), number_of(bare)), number_of(bare), F.lit(""), prefix))
-        .when((prefix == "") & t.rlike(structural) & valid, make(kind, F.concat(word, F.lit(" "), number), number, rest(t, structural), prefix))
-    )
+    prefix = F.when((F.length(t) > 1) & F.substring(t, 1, 1).isin("[", "<"), F.substring(t, 1, 1)).otherwise("")
+    u = F.substr(t, F.length(prefix) + 1)
+    sign = F.when(u.startswith("Art."), "Art.").when(u.startswith("§"), "§")
+    after = F.ltrim(F.regexp_replace(F.substr(u, F.length(sign) + 1), r"^\s+", ""))
+    token = F.regexp_extract(after, r"^\S+", 0)
+    tail = F.trim(F.substr(after, F.length(token) + 1))
+    dotted = token.endswith(".")
+    number = F.when(dotted, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    whole_line = (sign == "§") & (tail == "") & (prefix == "")
+    is_unit = _is_unit_number(number) & (dotted | whole_line)
+
+    word = F.regexp_extract(t, r"^\S+", 0)
+    kinds = {form: kind for name, kind in STRUCTURAL.items() for form in (name, name.capitalize())}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), word)
+    behind = F.trim(F.substr(t, F.length(word) + 1))
+    numeral = F.regexp_extract(behind, r"^[\p{L}0-9]+", 0)
+    left = F.substr(behind, F.length(numeral) + 1)
+    roman, arabic = _numerals(numeral)
+    named = F.when(kind.isin("book", "part"), roman | F.lower(numeral).isin(ORDINAL_WORDS)).otherwise(roman | arabic)
+    is_part = (prefix == "") & kind.isNotNull() & named & left.rlike(r"^(\s|\.|$)")
+
+    without_dot = lambda x: F.regexp_replace(F.trim(x), r"^\.\s*", "")
+    unit = F.struct(F.when(sign == "§", "paragraph").otherwise("article").alias("kind"), F.concat(sign, F.lit(" "), number).alias("designation"), number.alias("number"), without_dot(tail).alias("rest"), prefix.alias("prefix"))
+    part = F.struct(kind.alias("kind"), F.concat(word, F.lit(" "), numeral).alias("designation"), numeral.alias("number"), without_dot(left).alias("rest"), prefix.alias("prefix"))
+    return F.when(sign.isNotNull() & is_unit, unit).when(is_part, part)
 
 
 def letter_ordinal(c: Column) -> Column:
@@ -113,29 +149,41 @@ def letter_ordinal(c: Column) -> Column:
 
 
 def list_label(c: Column) -> Column:
-    """struct(label, kind, ordinal, rest) of a list line, null where it has no label or no text after it."""
+    """struct(label, kind, ordinal, rest) of a list line, null where it has no label or no text after it.
+
+    The first token is cut into an opening bracket, a body and a closing sign; the closing sign says which bodies can be.
+    """
     t = F.trim(c)
-    shape = r"^(\S+)\s+(\S.*)$"
-    label, rest = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
-    bracketed = (F.length(label) > 1) & label.rlike(r"^[\[<]")
+    label = F.regexp_extract(t, r"^\S+", 0)
+    rest = F.trim(F.regexp_replace(F.substr(t, F.length(label) + 1), r"^\s+", ""))
+    bracketed = (F.length(label) > 1) & F.substring(label, 1, 1).isin("[", "<")
     x = F.when(bracketed, F.substr(label, F.lit(2))).otherwise(label)
-    sup = f"[{SUPERSCRIPTS}]"
-    arabic = rf"^(\d{{1,3}})(?:[a-z]{{1,2}}|{sup}+)?([).])$"
-    roman = lambda p: (x.rlike(p), F.regexp_extract(x, p, 1))
-    up, low, low_dot = roman(r"^(X{0,3}(?:IX|IV|V?I{0,3}))[.)]$"), roman(r"^(x{0,3}(?:ix|iv|v?i{0,3}))\)$"), roman(r"^(x{0,3}(?:ix|iv|v?i{0,3}))\.$")
-    letter, slash, dot = rf"^([a-z]{{1,2}}){sup}*\)$", r"^([a-z]{1,2})/$", r"^([a-z])\.$"
-    num = lambda p: F.regexp_extract(x, p, 1)
-    to = lambda k, o: F.struct(F.lit(k).alias("kind"), o.cast("int").alias("ordinal"))
-    none = F.lit(None)
-    found = (
-        F.when(x.isin(BULLETS), to("bullet", none)).when(x.isin(DASHES), to("dash", none)).when(x.rlike(r"^\d{1,3}(\.\d{1,3})+\.?$"), to("outline", none))
-        .when(x.rlike(arabic) & x.endswith(")"), to("arabicParen", num(arabic))).when(x.rlike(arabic), to("arabicDot", num(arabic))).when(x.rlike(r"^\d{1,3}[a-z]?/$"), to("arabicSlash", num(r"^(\d{1,3})")))
-        .when(up[0] & (up[1] != ""), to("roman", roman_value(up[1]))).when(low[0] & (F.length(low[1]) >= 2), to("roman", roman_value(low[1])))
-        .when(x.rlike(letter), to("letterParen", letter_ordinal(num(letter)))).when(x.rlike(slash), to("letterSlash", letter_ordinal(num(slash))))
-        .when(x.rlike(dot), to("letterDot", letter_ordinal(num(dot)))).when(low_dot[0] & (F.length(low_dot[1]) >= 2), to("romanDot", roman_value(low_dot[1])))
+    closing = F.when(x.rlike(r"[)./]$"), F.substring(x, -1, 1)).otherwise("")
+    body = F.substring(x, F.lit(1), F.length(x) - F.length(closing))
+
+    digits = F.regexp_extract(body, "^[0-9]+", 0)
+    suffix = F.substr(body, F.length(digits) + 1)
+    is_number = F.length(digits).between(1, 3)
+    raised = F.translate(suffix, SUPERSCRIPTS, "") == ""
+    steps = F.split(F.regexp_replace(x, r"\.$", ""), r"\.")
+    outline = (F.size(steps) > 1) & F.forall(steps, lambda s: s.rlike("^[0-9]{1,3}$"))
+    letters = F.regexp_replace(body, f"[{SUPERSCRIPTS}]+$", "")
+    few = letters.rlike("^[a-z]{1,2}$")
+    upper_roman = (F.upper(body) == body) & is_roman(body, 39)
+    lower_roman = (F.lower(body) == body) & (F.length(body) > 1) & is_roman(body, 39)
+
+    to = lambda kind, ordinal: F.struct(F.lit(kind).alias("kind"), ordinal.cast("int").alias("ordinal"))
+    signs = F.when(x.isin(BULLETS), to("bullet", F.lit(None))).when(x.isin(DASHES), to("dash", F.lit(None))).when(outline, to("outline", F.lit(None)))
+    closed = (
+        F.when(is_number & (raised | suffix.rlike("^[a-z]{1,2}$")), F.struct(F.when(closing == ")", "arabicParen").otherwise("arabicDot").alias("kind"), digits.cast("int").alias("ordinal")))
+        .when(upper_roman, to("roman", roman_value(body))).when(lower_roman & (closing == ")"), to("roman", roman_value(body)))
+        .when(few & (closing == ")"), to("letterParen", letter_ordinal(letters))).when(body.rlike("^[a-z]$") & (closing == "."), to("letterDot", letter_ordinal(body)))
+        .when(lower_roman, to("romanDot", roman_value(body)))
     )
+    slashed = F.when(is_number & suffix.rlike("^[a-z]?$"), to("arabicSlash", digits)).when(body.rlike("^[a-z]{1,2}$"), to("letterSlash", letter_ordinal(body)))
+    found = F.coalesce(signs, F.when(closing.isin(")", "."), closed), F.when(closing == "/", slashed))
     barred = bracketed & found["kind"].isin("bullet", "dash", "letterDot", "romanDot")
-    return F.when((label != "") & found.isNotNull() & ~barred, F.struct(label.alias("label"), found["kind"].alias("kind"), found["ordinal"].alias("ordinal"), rest.alias("rest")))
+    return F.when((label != "") & (rest != "") & found.isNotNull() & ~barred, F.struct(label.alias("label"), found["kind"].alias("kind"), found["ordinal"].alias("ordinal"), rest.alias("rest")))
 
 
 def unit_normal(c: Column) -> Column:

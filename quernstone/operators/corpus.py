@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def as_of(queries: DataFrame, facts: DataFrame, key: list[str], at: str = "at", since: str = "since", value: str = "value") -> DataFrame:
     """Value in force at a moment: the latest fact from then or before. One union and one sort by key instead of a range join."""
@@ -60,3 +64,20 @@ def atx_headings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
 
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
     return docs.select(*key, F.explode(F.aggregate(lines, start, step, lambda s: s["found"])).alias("h")).select(*key, "h.line_no", "h.heading")
+
+
+def phrases_in(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
+    """(key, word) for each phrase that stands in a text as whole words, both folded. Texts are folded once and their word
+    runs joined by equality; phrases come from code, so their table is small."""
+    plain = lambda c: F.filter(F.split(F.regexp_replace(T.fold(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    wanted = docs.sparkSession.createDataFrame([(p,) for p in phrases], "word string").withColumn("w", plain(F.col("word")))
+    wanted = wanted.select("word", F.array_join("w", " ").alias("gram"))
+    sizes = sorted({len([w for w in re.split(r"[\W_]+", p) if w]) for p in phrases})
+    words = docs.select(key, plain(F.col(text)).alias("w"))
+
+    def runs(n: int):
+        several = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, several).otherwise(F.array().cast("array<string>"))
+
+    grams = words.where("w IS NOT NULL").select(key, F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("gram"))
+    return grams.join(wanted, "gram").select(key, "word")

@@ -5,6 +5,7 @@ Line tables have explicit ordinals; every operator partitions by its document ke
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,16 +97,35 @@ def linked_notes(refs: DataFrame, defs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def unique_suffixes(rows: DataFrame, key: list[str], order: str, value: str, out: str, first: int = 1) -> DataFrame:
-    """value, value-1, value-2 ... skipping names already taken, in order: folded per key."""
-    packed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("xs"))
-    start = F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<o:bigint,name:string>>").alias("out"))
-
-    def step(s, x):
-        tries = F.concat(F.array(x["v"]), F.transform(F.sequence(F.lit(first), F.size(s["names"]) + first), lambda i: F.concat(x["v"], F.lit("-"), i)))
-        name = F.get(F.filter(tries, lambda t: ~F.array_contains(s["names"], t)), F.lit(0))
-        return F.struct(F.concat(s["names"], F.array(name)).alias("names"), F.concat(s["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), name.alias("name")))).alias("out"))
-
-    return packed.select(*key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("r")).select(*key, F.col("r.o").alias(order), F.col("r.name").alias(out))
+    """value, value-1, value-2 ... skipping names already taken, in order, inside each key.
+
+    Only values that agree up to their numbers can clash. Where such a family has one value, its rows are numbered by a
+    window; the others are gone through in order, with a counter a value.
+    """
+    family = Window.partitionBy(*key, "_root")
+    named = rows.select(*key, F.col(order).cast("long").alias("_o"), F.col(value).alias("_v")).withColumn("_root", F.regexp_replace("_v", r"(-\d+)+$", ""))
+    named = named.withColumn("_one", F.min("_v").over(family) == F.max("_v").over(family))
+    n = F.row_number().over(family.orderBy("_o")) - 2 + first
+    plain = named.where("_one").select(*key, "_o", F.when(n < first, F.col("_v")).otherwise(F.concat("_v", F.lit("-"), n.cast("string"))).alias("_name"))
+    types = ", ".join(f"{c} {t}" for c, t in named.select(*key).dtypes)
+
+    def run(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("_o")
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        names = []
+        for v in t["_v"].to_pylist():
+            name = v
+            while name in taken:
+                k = following.get(v, first)
+                following[v] = k + 1
+                name = f"{v}-{k}"
+            taken.add(name)
+            names.append(name)
+        return t.select([*key, "_o"]).append_column("_name", pa.array(names, pa.string()))
+
+    mixed = named.where("NOT _one").select(*key, "_o", "_v", "_root").groupBy(*key, "_root").applyInArrow(run, f"{types}, _o long, _name string")
+    return plain.unionByName(mixed).select(*key, F.col("_o").alias(order), F.col("_name").alias(out))
 
 
 def column_bands(cells: DataFrame, key: str, position: str, gap: float) -> DataFrame:

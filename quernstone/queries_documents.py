@@ -74,7 +74,7 @@ def a47_a48_cells_and_leading(spark, sf):
 @query(f"SELECT n, CASE WHEN hit THEN regexp_extract(line, p, 1) ELSE line END AS designation, CASE WHEN hit THEN regexp_extract(line, p, 2) END AS item FROM (SELECT n, line, '^(Art\\. ?\\d+[a-z]*\\.)\\s+(1\\.\\s.+)$' AS p, regexp_matches(line, p) AS hit FROM {_literal(SPLITS, ['line'])[1]})".replace("regexp_extract(line, p, ", "regexp_extract(line, '^(Art\\. ?\\d+[a-z]*\\.)\\s+(1\\.\\s.+)$', "))
 def a53_article_split(spark, sf):
     unit, item = D.article_split(F.col("line"))
-    return _rows(spark, SPLITS, ["line"]).select("n", unit.alias("designation"), item.alias("item"))
+    return _rows(spark, sf, SPLITS, ["line"]).select("n", unit.alias("designation"), item.alias("item"))
 
 
 @query("""SELECT o_orderkey, list_filter([CASE WHEN NOT regexp_matches(id, '^[A-Za-z0-9._-]{1,100}$') THEN 'id' END, CASE WHEN o_orderkey % 11 <= 0 THEN 'version' END, CASE WHEN o_orderkey % 4 - 1 < 0 THEN 'validity' END], lambda x: x IS NOT NULL) AS problems
@@ -179,7 +179,7 @@ def g12_block_dealing(spark, sf):
 @query(f"""SELECT n, list_sort(regexp_extract_all({"regexp_replace(" * 4}replace(replace(line, '{{{{', chr(1)), '}}}}', chr(2)){", '\\{[^{}]*\\}', '', 'g')" * 4}, chr(1) || 'fakt:([^' || chr(2) || ']*)' || chr(2), 1)) AS facts FROM {_literal(GROUPS, ["line"])[1]}""")
 def g14_guaranteed_facts(spark, sf):
     facts = F.regexp_extract_all(D.outside_groups(F.col("line")), F.lit(r"\{\{fakt:([^{}]*)\}\}"), F.lit(1))
-    return _rows(spark, GROUPS, ["line"]).select("n", F.array_sort(facts).alias("facts"))
+    return _rows(spark, sf, GROUPS, ["line"]).select("n", F.array_sort(facts).alias("facts"))
 
 
 @query()

@@ -52,7 +52,7 @@ def _joined_sql(items: str) -> str:
     return f"list_reduce(list_prepend('', list_transform({items}, lambda t: trim(t))), lambda a, b: {_join_sql('a', 'b')})"
 
 
-EXCLUDED = r"(regexp_matches(text, '\.{4,}|…{2,}') OR regexp_matches(text, '^\s*[„""«]') OR regexp_matches(lower(text), '^\s*(rys|rysunek|tabela|wykres)\b[. ]*[0-9]') OR regexp_matches(trim(text), '[,;]$'))".replace('""', '"')
+EXCLUDED = r'''(regexp_matches(text, '\.{4,}|…{2,}') OR regexp_matches(text, '^\s*[„"«]') OR regexp_matches(lower(text), '^\s*(rys|rysunek|tabela|wykres)\b[. ]*[0-9]') OR regexp_matches(trim(text), '[,;]$'))'''
 CANDIDATES = f"""(SELECT *, short AND isolated AND (enlarged OR bold OR capitals OR centered) AND NOT {EXCLUDED} AS candidate FROM
     (SELECT *, size >= 1.15::DOUBLE * 10 AS enlarged, upper(text) = text AND lower(text) <> text AS capitals, coalesce(baseline - lag(baseline) OVER w > 1.3::DOUBLE * 12, true) AS isolated, length(text) <= 120 AND regexp_matches(text, '\\p{{L}}') AS short
     FROM {LINES} WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)))"""

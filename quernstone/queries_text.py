@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import corpus
 
 ALLOWED = ["example.com", "example.org"]
 SECRET = "token"
@@ -21,14 +22,24 @@ LABEL_UNITS = ["5.", "IV.", "§ 3", "Opłaty.", " 12 "]
 
 
 def _literal(rows: list, names: list[str]) -> tuple:
-    """(Spark rows, SQL VALUES)."""
+    """(Spark rows, SQL of them and of all document lines). With two names the second is the line after."""
     rows = [r if isinstance(r, tuple) else (r,) for r in rows]
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    return rows, "(VALUES " + ", ".join("(" + ", ".join([str(i), *map(quote, r)]) + ")" for i, r in enumerate(rows)) + f") AS v(n, {', '.join(names)})"
+    own = "VALUES " + ", ".join("(" + ", ".join([f"{i}::BIGINT", *map(quote, r)]) + ")" for i, r in enumerate(rows))
+    columns = ", ".join(["t", "coalesce(lead(t) OVER (PARTITION BY n // 1000000 ORDER BY n), '')"][: len(names)])
+    return rows, f"({own} UNION ALL SELECT n, {columns} FROM {DOCUMENT_LINES}) AS v(n, {', '.join(names)})"
 
 
-def _rows(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(_literal(rows, names)[0])], "n int, " + ", ".join(f"{x} string" for x in names))
+DOCUMENT_LINES = "(SELECT (doc_id + 1) * 1000000 + unnest(range(len(ls))) AS n, unnest(ls) AS t FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n|\\. ') AS ls FROM documents))"
+
+
+def _rows(spark: SparkSession, sf_dir: str, rows: list, names: list[str]) -> DataFrame:
+    """The literal rows and all lines and sentences of the documents."""
+    own = spark.createDataFrame([(i, *r) for i, r in enumerate(_literal(rows, names)[0])], "n long, " + ", ".join(f"{x} string" for x in names))
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n|\. ")).alias("p", "t"))
+    following = F.coalesce(F.lead("t").over(Window.partitionBy("doc_id").orderBy("p")), F.lit(""))
+    found = [F.col("t"), following][: len(names)]
+    return own.unionByName(split.select(((F.col("doc_id") + 1) * 1000000 + F.col("p")).alias("n"), *[c.alias(x) for c, x in zip(found, names, strict=True)]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +89,7 @@ _P = "trim(t)"
 def e03_e04_e05_page_numbers(spark, sf):
     t = F.col("t")
     n, m = T.page_of_total(t)
-    return _rows(spark, PAGES, ["t"]).select("n", "t", T.page_number(t).alias("page"), n.alias("of_n"), m.alias("of_m"))
+    return _rows(spark, sf, PAGES, ["t"]).select("n", "t", T.page_number(t).alias("page"), n.alias("of_n"), m.alias("of_m"))
 
 
 @query("SELECT DISTINCT p_size, concat(repeat('l', (p_size // 50)::INT), CASE WHEN p_size % 50 >= 40 THEN 'xl' ELSE repeat('x', (p_size % 50 // 10)::INT) END, CASE WHEN p_size % 10 = 9 THEN 'ix' WHEN p_size % 10 = 4 THEN 'iv' ELSE concat(repeat('v', (p_size % 10 // 5)::INT), repeat('i', (p_size % 10 % 5)::INT)) END) AS roman FROM part")
@@ -90,7 +101,7 @@ def e06_to_roman(spark, sf):
     SELECT n, CASE WHEN regexp_matches(e, '.-$') AND f <> '' AND regexp_matches(regexp_extract(e, '([^ ]*)$', 1), '/|www\\.') THEN 'KEEP' WHEN p = '' OR w = '' THEN 'NONE'
     WHEN lower(p || '-' || w) = 'polsko-angielski' OR regexp_matches(f, '^\\p{{Lu}}') OR length(p) = 1 OR regexp_full_match(p, '\\p{{Lu}}{{1,4}}') THEN 'KEEP' ELSE 'REMOVE' END AS join_kind FROM x""")
 def e07_hyphen_join(spark, sf):
-    return _rows(spark, HYPHENS, ["e", "f"]).select("n", T.hyphen_join(F.col("e"), F.col("f"), ["polsko-angielski"]).alias("join_kind"))
+    return _rows(spark, sf, HYPHENS, ["e", "f"]).select("n", T.hyphen_join(F.col("e"), F.col("f"), ["polsko-angielski"]).alias("join_kind"))
 
 
 _N = "\\d+[a-z]{0,3}[¹²³⁰⁴⁵⁶⁷⁸⁹]*"
@@ -102,18 +113,18 @@ _N = "\\d+[a-z]{0,3}[¹²³⁰⁴⁵⁶⁷⁸⁹]*"
     SELECT n, kind, CASE kind WHEN 'article' THEN 'Art. ' || regexp_extract(u, '{_N}') WHEN 'paragraph' THEN '§ ' || regexp_extract(u, '{_N}') ELSE k || ' ' || num END AS designation, CASE WHEN kind IN ('article', 'paragraph') THEN prefix ELSE '' END AS prefix FROM z WHERE kind IS NOT NULL""")
 def e08_e09_legal_units(spark, sf):
     u = T.legal_unit(F.col("t"))
-    return _rows(spark, LINES, ["t"]).select("n", u.alias("u")).where("u IS NOT NULL").select("n", "u.kind", "u.designation", "u.prefix")
+    return _rows(spark, sf, LINES, ["t"]).select("n", u.alias("u")).where("u IS NOT NULL").select("n", "u.kind", "u.designation", "u.prefix")
 
 
 @query()
 def e10_e11_list_labels(spark, sf):
-    return _rows(spark, LABELS, ["t"]).select("n", T.list_label(F.col("t")).alias("m")).where("m IS NOT NULL").select("n", "m.*")
+    return _rows(spark, sf, LABELS, ["t"]).select("n", T.list_label(F.col("t")).alias("m")).where("m IS NOT NULL").select("n", "m.*")
 
 
 _NU = "rtrim(regexp_replace(trim(regexp_replace(lower({}), '\\s+', ' ', 'g')), '\\.$', ''))"
 @query(f"WITH x AS (SELECT n, {_NU.format('c')} AS c, {_NU.format('u')} AS u FROM {_literal(UNITS, ['c', 'u'])[1]}), y AS (SELECT *, regexp_extract(u, '^(\\d+(\\.\\d+)*)\\. ', 1) AS h FROM x) SELECT n, (u <> '' AND (c = u OR starts_with(c, u || ' ') OR starts_with(c, u || ','))) OR (h <> '' AND (c = h OR starts_with(c, h || ' ') OR starts_with(c, h || ','))) AS matches FROM y")
 def e12_unit_match(spark, sf):
-    return _rows(spark, UNITS, ["c", "u"]).select("n", T.unit_matches(F.col("c"), F.col("u")).alias("matches"))
+    return _rows(spark, sf, UNITS, ["c", "u"]).select("n", T.unit_matches(F.col("c"), F.col("u")).alias("matches"))
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g'))) AS normal, list_distinct(regexp_extract_all(text, '\\p{Nd}+')).len()::INTEGER AS n_numbers FROM documents")
@@ -124,7 +135,7 @@ def e13_e14_grounding_text(spark, sf):
 
 @query()
 def e15_list_label_strip(spark, sf):
-    return _rows(spark, [*LABELS, "zob. a) oraz 1/ i lit. b\\) tekst"], ["t"]).select("n", T.without_list_labels(F.col("t")).alias("plain"))
+    return _rows(spark, sf, [*LABELS, "zob. a) oraz 1/ i lit. b\\) tekst"], ["t"]).select("n", T.without_list_labels(F.col("t")).alias("plain"))
 
 
 @query("SELECT conv_id, turn, rtrim(regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[? ]+$', '')) AS question FROM conversations WHERE role = 'user'")
@@ -142,10 +153,13 @@ def e18_e19_fold(spark, sf):
     return lines(table(spark, sf, "documents")).select("doc_id", "line_no", T.fold(F.col("line")).alias("folded"))
 
 
-@query("SELECT doc_id, w AS word FROM documents, (VALUES ('license'), ('trash'), ('the'), ('token')) AS x(w) WHERE contains(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' ' || w || ' ')")
+FORBIDDEN = ["license", "trash", "the", "token", "access token", "to-do", "Là"]
+
+
+@query(f"""SELECT doc_id, w AS word FROM documents, (VALUES {', '.join(f"('{w}')" for w in FORBIDDEN)}) AS x(w)
+    WHERE contains(' ' || regexp_replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || regexp_replace(translate(lower(w), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')""")
 def e20_g18_forbidden_words(spark, sf):
-    words = spark.createDataFrame([("license",), ("trash",), ("the",), ("token",)], "word string")
-    return table(spark, sf, "documents").join(F.broadcast(words), T.has_word(F.lower("text"), F.col("word"))).select("doc_id", "word")
+    return corpus.phrases_in(table(spark, sf, "documents"), "doc_id", "text", FORBIDDEN)
 
 
 @query("SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', round(o_totalprice, 2)), ',', ' '), '.', ','), ';', '') || ' zł' AS amount, day(o_orderdate) || ' ' || (['stycznia','lutego','marca','kwietnia','maja','czerwca','lipca','sierpnia','września','października','listopada','grudnia'])[month(o_orderdate)] || ' ' || year(o_orderdate) || ' r.' AS printed, CASE WHEN o_orderkey % 200 = 1 THEN 'dzień' WHEN o_orderkey % 200 % 10 BETWEEN 2 AND 4 AND o_orderkey % 200 % 100 NOT BETWEEN 12 AND 14 THEN 'dni' ELSE 'dniach' END AS noun FROM orders")
@@ -156,17 +170,17 @@ def e21_e22_polish_format(spark, sf):
 @query(f"SELECT n, regexp_extract(regexp_replace(t, '^[A-Z]{{6}}\\+', ''), '^([^-,]*)', 1) AS family, regexp_matches(lower(t), 'bold|black|heavy|semibold|demi') AS bold, regexp_matches(lower(t), 'italic|oblique|slanted|kursiv') AS italic FROM {_literal(FONTS, ['t'])[1]}")
 def e23_fonts(spark, sf):
     bold, italic = T.font_style(F.col("t"))
-    return _rows(spark, FONTS, ["t"]).select("n", T.font_family(F.col("t")).alias("family"), bold.alias("bold"), italic.alias("italic"))
+    return _rows(spark, sf, FONTS, ["t"]).select("n", T.font_family(F.col("t")).alias("family"), bold.alias("bold"), italic.alias("italic"))
 
 
 @query(f"SELECT n, regexp_replace(t, '-w\\d+$', '') AS base FROM {_literal(IDS, ['t'])[1]}")
 def e24_version_suffix(spark, sf):
-    return _rows(spark, IDS, ["t"]).select("n", T.without_version(F.col("t")).alias("base"))
+    return _rows(spark, sf, IDS, ["t"]).select("n", T.without_version(F.col("t")).alias("base"))
 
 
 @query(f"SELECT n, CASE WHEN regexp_full_match(regexp_replace(trim(t), '\\.$', ''), '\\d+|[IVXLC]+') THEN 'sekcja ' ELSE '' END || regexp_replace(trim(t), '\\.$', '') AS label FROM {_literal(LABEL_UNITS, ['t'])[1]}")
 def e25_unit_label(spark, sf):
-    return _rows(spark, LABEL_UNITS, ["t"]).select("n", T.unit_label(F.col("t")).alias("label"))
+    return _rows(spark, sf, LABEL_UNITS, ["t"]).select("n", T.unit_label(F.col("t")).alias("label"))
 
 
 @query("""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(?:/.*)?/([^/]*)$', 1), '\\.[A-Za-z0-9]{1,5}$', ''), '^[-. ]+|[-. ]+$', '', 'g') AS s FROM pages),

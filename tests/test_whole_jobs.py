@@ -2,12 +2,12 @@
 
 import __spark_entry__ as entry
 from quernstone import queries_tables
-from quernstone.operators import corpus
+from quernstone.operators import corpus, layout
 
 
 def test_manifest_order_numbers_every_row(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert sorted(r["at"] for r in entry.queries()["c18_manifest_order_all_rows"](spark, sf).collect()) == list(range(1, orders + 1))
+    assert sorted(r["at"] for r in entry.queries()["c18_manifest_order"](spark, sf).collect()) == list(range(1, orders + 1))
     rows = [(r, k) for r in (2, 0, 1) for k in (9, -3, 0, 14, 5)]
     got = corpus.numbered(spark.createDataFrame(rows, "rank int, k long"), "rank", "k", "at", 4).collect()
     assert {(r["rank"], r.k): r["at"] for r in got} == {x: i for i, x in enumerate(sorted(rows), 1)}
@@ -17,7 +17,7 @@ def test_word_coverage_counts_every_part(spark, tmp_path):
     lines = [f"{w} " * 250 for w in ("one", "two", "three")]
     docs = spark.createDataFrame([(1, "\n".join(lines), "s")], "doc_id long, text string, source string")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    assert entry.queries()["g30_g31_word_coverage_all_parts"](spark, f"file://{tmp_path}").count() == 0
+    assert entry.queries()["g30_g31_word_coverage"](spark, f"file://{tmp_path}").count() == 0
     parts = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma gamma")], "doc_id long, part int, content string")
     whole = spark.createDataFrame([(1, "alpha beta\ngamma delta")], "doc_id long, text string")
     got = queries_tables.word_coverage(whole, parts).collect()
@@ -36,3 +36,29 @@ def test_anchors_of_all_headings_outside_fences(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "<h1>One two</h1><p>x</p><h2>One two</h2>"), (3, None)], "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
     got = entry.queries()["d11_heading_anchors"](spark, f"file://{tmp_path}").orderBy("page_id", "line_no").collect()
     assert [(r.page_id, r.anchor) for r in got] == [(1, "one-two"), (1, "one-two-1"), (1, "a--b_c"), (1, ""), (1, "one-two-1-1"), (2, "one-two"), (2, "one-two-1")]
+
+
+def test_suffixes_against_plain(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(d, o, r.choice(["a", "a", "b", "a-1", "a-1-1", "b-2", "c", "", "-1"])) for d in range(6) for o in range(r.randint(1, 25))]
+    rows += [(9, o, "hot") for o in range(3000)]
+    want = {}
+    for d in range(10):
+        taken, following = set(), {}
+        for _, o, v in sorted(x for x in rows if x[0] == d):
+            name, k = v, following.get(v, 1)
+            while name in taken:
+                name, k = f"{v}-{k}", k + 1
+            following[v] = k
+            taken.add(name)
+            want[d, o] = name
+    got = layout.unique_suffixes(spark.createDataFrame(rows, "d long, o long, v string"), ["d"], "o", "v", "name").collect()
+    assert {(x.d, x.o): x.name for x in got} == want
+
+
+def test_forbidden_phrases_fold_both_sides(spark):
+    docs = spark.createDataFrame([(1, "Ma to-do list, là-bas"), (2, "access  TOKEN? tokens"), (3, None), (4, "")], "doc_id long, text string")
+    got = corpus.phrases_in(docs, "doc_id", "text", ["To-Do", "LA", "access token", "token", "okens"]).collect()
+    assert sorted((x.doc_id, x.word) for x in got) == [(1, "LA"), (1, "To-Do"), (2, "access token"), (2, "token")]
