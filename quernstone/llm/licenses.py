@@ -16,6 +16,8 @@ repeated rows give repeated results and don't add up; null ids are kept; other c
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ VOTES = "template int, label string, base boolean, grams int, t int, gram string
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)  # A-Z alone
+    return F.filter(F.split(lowered, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
 def template_grams(spark: SparkSession, base: dict[str, str], notices: list[tuple[str, str]]) -> DataFrame:

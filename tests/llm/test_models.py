@@ -87,7 +87,7 @@ def test_quality_accuracy(spark):
     rows = quality.classify(docs).join(labels, "doc_id").collect()
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.keep for r in good) / len(good) > 0.98
-    assert sum(not r.keep for r in bad) / len(bad) > 0.85
+    assert sum(not r.keep for r in bad) / len(bad) > 0.95
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and 8000 < kept.count() < 9500
 

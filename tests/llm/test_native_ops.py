@@ -72,9 +72,44 @@ def check_licenses(rows, got):
     assert sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], key=key) == sorted([(i, *brute_licenses(t)) for i, t in rows], key=key)
 
 
+def brute_labels(text):
+    """Labels and score by the definition: votes by diagonal, neighbours merged, spans verified."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = {}
+    for p in range(len(w) - 1):
+        at.setdefault((w[p], w[p + 1]), []).append(p)
+    found = []
+    for label, phrase, base in [(k, v, True) for k, v in licenses.BASE.items()] + [(k, v, False) for k, v in licenses.NOTICES]:
+        words = phrase.split()
+        grams = len(words) - 1
+        votes = {}
+        for t in range(grams):
+            for p in at.get((words[t], words[t + 1]), []):
+                votes.setdefault(p - t, []).append((t, p))
+        clusters, last = [], None
+        for d in sorted(d for d, v in votes.items() if len(v) >= min(2, grams)):
+            if base or last is None or d - last > licenses.NEIGHBOURS:
+                clusters.append([])
+            clusters[-1].append(votes[d])
+            last = d
+        for c in clusters:
+            places = [p for v in c for _, p in v]
+            whole = max(places) - min(places) < 1.25 * grams + licenses.NEIGHBOURS
+            share = (len({t for v in c for t, _ in v}) if whole else max(len(v) for v in c)) / grams
+            if share == 1 if base else share >= licenses.LEAST:
+                found.append((label, share))
+    return ",".join(sorted({k for k, _ in found})), max((s for _, s in found), default=0.0)
+
+
+def check_labels(rows, got):
+    order = lambda x: (x[0] is None, x[0] or 0, *map(str, x[1:]))
+    assert sorted([(r.doc_id, r.labels, round(r.score, 9)) for r in got], key=order) == sorted([(i, a, round(b, 9)) for i, t in rows for a, b in [brute_labels(t)]], key=order)
+
+
 def test_licenses(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = licenses.scan(docs).collect()
+    check_labels([(r.doc_id, r.text) for r in docs.collect()], got)
     check_licenses([(r.doc_id, r.text) for r in docs.collect()], got)
     for r in got:
         assert {*r.base_labels.split(",")} - {""} <= {*r.labels.split(",")} and 0 <= r.score <= 1
@@ -84,10 +119,12 @@ def test_licenses_odd(spark):
     rows = [
         *ODD, (30, "MIT License mit-license. MIT  licenses"), (31, "the GNU General Public License! general public general public license"), (32, "Apache License" * 3),
         (33, "Licensed under CC BY-NC 4.0."), (34, "mitK license mİt license café mit licenseé"), (30, "mit license"), (35, "mit license"), (35, "mit license"),
+        (38, "licensed under the \u212a license; l\u0130cense mit l\u0131cense"), (39, "this source code form is quite subject to the terms of our mozilla public license " * 3),
         (36, "Redistribution and use in source and some binary forms, with or without modification, are permitted"), (37, "of the license " * 400 + "released under the MIT license"),
     ]
     got = licenses.scan(frame(spark, rows)).collect()
     check_licenses(rows, got)
+    check_labels(rows, got)
     by = {r.doc_id: r for r in got}
     assert by[33].labels == "cc-by-nc" and by[33].base_labels == "" and by[36].labels == "bsd" and 0.8 <= by[36].score < 1
     assert by[37].labels == "mit" and by[5].labels == "" and by[5].score == 0
@@ -114,3 +151,49 @@ def test_sparse_ids(spark):
         t = f"text {a}"
         tail = len(t) // 4
         assert got[a] == hashlib.sha256((t[: len(t) - tail] + f"text {b}"[:tail]).encode()).hexdigest()
+
+
+M64, M32 = (1 << 64) - 1, (1 << 32) - 1
+
+
+def murmur(values, seed=42):
+    """Spark's hash() of whole numbers of 32 bits."""
+    turn = lambda x, n: ((x << n) | (x >> (32 - n))) & M32
+    h = seed
+    for v in values:
+        k = turn((v & M32) * 0xCC9E2D51 & M32, 15) * 0x1B873593 & M32
+        h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & M32
+        h ^= 4
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> shift)) * by & M32
+    return h - (1 << 32) if h >> 31 else h
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    least = {}
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        h = h - (1 << 64) if h >> 63 else h
+        b = (h >> 56) + 128
+        least[b] = min(least.get(b, h), h)
+    if not least:
+        return "0" * 256
+    digit = {b: f"{h & 15:x}" for b, h in least.items()}
+    out = []
+    for j in range(256):
+        tried = [murmur((j, t)) % 256 for t in range(fingerprints.PROBES)]
+        first = next((b for b in [j, *tried] if b in digit), None)
+        out.append(digit[first] if first is not None else min((murmur((j, b)), d) for b, d in digit.items())[1])
+    return "".join(out)
+
+
+def test_fingerprints_against_plain(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(80)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000 + i, t) for i, t in enumerate(["one", "a b c d e f", "x " * 30, "", None, " ".join(map(str, range(40)))])]
+    df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string").na.fill(""), "text", "fp")
+    assert {r.doc_id: r.fp for r in df.select("doc_id", "fp").collect()} == {i: plain_fingerprint(t) for i, t in rows}
