@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ BULLETS = ["•", "▪", "◦", "‣", "*", "●", "■", "□", "○", "✓", "
 DASHES = ["–", "—", "-"]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once and not once a mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space collapsed and trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -48,8 +54,8 @@ def roman_value(c: Column) -> Column:
 
 def is_roman(c: Column, most: int = 3999) -> Column:
     """Whether a numeral is well formed: it is what its value is written as."""
-    n = roman_value(c)
-    return n.between(1, most) & (to_roman(n) == F.lower(c))
+    written = lambda n: n.between(1, most) & (to_roman(n) == F.lower(c))
+    return c.rlike("(?i)^[ivxlcdm]{1,15}$") & _let(roman_value(c), written)
 
 
 def to_roman(n: Column) -> Column:
@@ -61,20 +67,24 @@ def to_roman(n: Column) -> Column:
     return F.concat(*parts)
 
 
+#: No page mark is longer.
+MARK_CHARS = 200
 #: What is left of a page mark when # stands for its numbers, and how many digits the first may have.
 PAGE_MARKS = {"#": 3, "-#-": 4, "#/#": 4, "strona #": 4, "strona # z #": 4, "str.#": 4, "s.#": 4, "s.#/#": 4}
 
 
 def page_number(c: Column) -> Column:
     """Number of a lone page mark, null where the text isn't one."""
-    t = F.trim(c)
-    mark = F.regexp_replace(F.translate(F.lower(t), "–—", "--"), r"\s*([-/.])\s*", "$1")
-    mark = F.regexp_replace(F.regexp_replace(mark, r"\s+", " "), r"[0-9]+", "#")
-    runs = F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
-    most = F.element_at(F.create_map(*[F.lit(x) for kv in PAGE_MARKS.items() for x in kv]), mark)
-    first = F.get(runs, F.lit(0))
-    fits = (F.length(first) <= most) & F.forall(runs, lambda x: F.length(x) <= 4)
-    return F.when(fits, first.cast("int")).when(is_roman(t), roman_value(t))
+    marks = F.create_map(*[F.lit(x) for kv in PAGE_MARKS.items() for x in kv])
+
+    def number(t: Column) -> Column:
+        mark = F.regexp_replace(F.translate(F.lower(t), "–—", "--"), r"\s*([-/.])\s*", "$1")
+        mark = F.regexp_replace(F.regexp_replace(mark, r"\s+", " "), r"[0-9]+", "#")
+        runs = F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
+        fits = lambda r: F.when((F.length(F.get(r, F.lit(0))) <= F.element_at(marks, mark)) & F.forall(r, lambda x: F.length(x) <= 4), F.get(r, F.lit(0)).cast("int"))
+        return F.when(F.length(t) <= MARK_CHARS, F.coalesce(_let(runs, fits), F.when(is_roman(t), roman_value(t))))
+
+    return _let(F.trim(c), number)
 
 
 def page_of_total(c: Column) -> tuple[Column, Column]:
@@ -114,32 +124,45 @@ def legal_unit(c: Column) -> Column:
 
     The line is cut into an opening bracket, a sign or word, the token after it and the rest; each is tested on its own.
     """
-    t = F.trim(c)
-    prefix = F.when((F.length(t) > 1) & F.substring(t, 1, 1).isin("[", "<"), F.substring(t, 1, 1)).otherwise("")
-    u = F.substr(t, F.length(prefix) + 1)
-    sign = F.when(u.startswith("Art."), "Art.").when(u.startswith("§"), "§")
-    after = F.ltrim(F.regexp_replace(F.substr(u, F.length(sign) + 1), r"^\s+", ""))
-    token = F.regexp_extract(after, r"^\S+", 0)
-    tail = F.trim(F.substr(after, F.length(token) + 1))
-    dotted = token.endswith(".")
-    number = F.when(dotted, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
-    whole_line = (sign == "§") & (tail == "") & (prefix == "")
-    is_unit = _is_unit_number(number) & (dotted | whole_line)
-
-    word = F.regexp_extract(t, r"^\S+", 0)
+    without_dot = lambda x: F.regexp_replace(F.trim(x), r"^\.\s*", "")
+    made = lambda kind, head, number, rest, prefix: F.struct(kind.alias("kind"), F.concat(head, F.lit(" "), number).alias("designation"), number.alias("number"), without_dot(rest).alias("rest"), prefix.alias("prefix"))
     kinds = {form: kind for name, kind in STRUCTURAL.items() for form in (name, name.capitalize())}
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), word)
-    behind = F.trim(F.substr(t, F.length(word) + 1))
-    numeral = F.regexp_extract(behind, r"^[\p{L}0-9]+", 0)
-    left = F.substr(behind, F.length(numeral) + 1)
-    roman, arabic = _numerals(numeral)
-    named = F.when(kind.isin("book", "part"), roman | F.lower(numeral).isin(ORDINAL_WORDS)).otherwise(roman | arabic)
-    is_part = (prefix == "") & kind.isNotNull() & named & left.rlike(r"^(\s|\.|$)")
+    kind_of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
 
-    without_dot = lambda x: F.regexp_replace(F.trim(x), r"^\.\s*", "")
-    unit = F.struct(F.when(sign == "§", "paragraph").otherwise("article").alias("kind"), F.concat(sign, F.lit(" "), number).alias("designation"), number.alias("number"), without_dot(tail).alias("rest"), prefix.alias("prefix"))
-    part = F.struct(kind.alias("kind"), F.concat(word, F.lit(" "), numeral).alias("designation"), numeral.alias("number"), without_dot(left).alias("rest"), prefix.alias("prefix"))
-    return F.when(sign.isNotNull() & is_unit, unit).when(is_part, part)
+    def unit(u: Column, prefix: Column) -> Column:
+        def by_sign(sign: Column) -> Column:
+            def by_token(after: Column, token: Column) -> Column:
+                tail = F.trim(F.substr(after, F.length(token) + 1))
+                dotted = token.endswith(".")
+                whole_line = (sign == "§") & (tail == "") & (prefix == "")
+                number = F.when(dotted, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+                kind = F.when(sign == "§", "paragraph").otherwise("article")
+                return _let(number, lambda n: F.when(_is_unit_number(n) & (dotted | whole_line), made(kind, sign, n, tail, prefix)))
+
+            after = F.ltrim(F.regexp_replace(F.substr(u, F.length(sign) + 1), r"^\s+", ""))
+            return _let(after, lambda x: _let(F.regexp_extract(x, r"^\S+", 0), lambda token: by_token(x, token)))
+
+        sign = F.when(u.startswith("Art."), "Art.").when(u.startswith("§"), "§")
+        return F.when(sign.isNotNull(), _let(sign, by_sign))
+
+    def part(t: Column, word: Column) -> Column:
+        kind = F.element_at(kind_of, word)
+        behind = F.trim(F.substr(t, F.length(word) + 1))
+
+        def by_numeral(numeral: Column) -> Column:
+            left = F.substr(behind, F.length(numeral) + 1)
+            roman, arabic = _numerals(numeral)
+            named = F.when(kind.isin("book", "part"), roman | F.lower(numeral).isin(ORDINAL_WORDS)).otherwise(roman | arabic)
+            return F.when(named & left.rlike(r"^(\s|\.|$)"), made(kind, word, numeral, left, F.lit("")))
+
+        return F.when(kind.isNotNull(), _let(F.regexp_extract(behind, r"^[\p{L}0-9]+", 0), by_numeral))
+
+    def line(t: Column) -> Column:
+        bracket = F.when((F.length(t) > 1) & F.substring(t, 1, 1).isin("[", "<"), F.substring(t, 1, 1)).otherwise("")
+        by_bracket = lambda prefix: F.coalesce(_let(F.substr(t, F.length(prefix) + 1), lambda u: unit(u, prefix)), F.when(prefix == "", _let(F.regexp_extract(t, r"^\S+", 0), lambda word: part(t, word))))
+        return _let(bracket, by_bracket)
+
+    return _let(F.trim(c), line)
 
 
 def letter_ordinal(c: Column) -> Column:
@@ -153,37 +176,44 @@ def list_label(c: Column) -> Column:
 
     The first token is cut into an opening bracket, a body and a closing sign; the closing sign says which bodies can be.
     """
-    t = F.trim(c)
-    label = F.regexp_extract(t, r"^\S+", 0)
-    rest = F.trim(F.regexp_replace(F.substr(t, F.length(label) + 1), r"^\s+", ""))
-    bracketed = (F.length(label) > 1) & F.substring(label, 1, 1).isin("[", "<")
-    x = F.when(bracketed, F.substr(label, F.lit(2))).otherwise(label)
-    closing = F.when(x.rlike(r"[)./]$"), F.substring(x, -1, 1)).otherwise("")
-    body = F.substring(x, F.lit(1), F.length(x) - F.length(closing))
-
-    digits = F.regexp_extract(body, "^[0-9]+", 0)
-    suffix = F.substr(body, F.length(digits) + 1)
-    is_number = F.length(digits).between(1, 3)
-    raised = F.translate(suffix, SUPERSCRIPTS, "") == ""
-    steps = F.split(F.regexp_replace(x, r"\.$", ""), r"\.")
-    outline = (F.size(steps) > 1) & F.forall(steps, lambda s: s.rlike("^[0-9]{1,3}$"))
-    letters = F.regexp_replace(body, f"[{SUPERSCRIPTS}]+$", "")
-    few = letters.rlike("^[a-z]{1,2}$")
-    upper_roman = (F.upper(body) == body) & is_roman(body, 39)
-    lower_roman = (F.lower(body) == body) & (F.length(body) > 1) & is_roman(body, 39)
-
     to = lambda kind, ordinal: F.struct(F.lit(kind).alias("kind"), ordinal.cast("int").alias("ordinal"))
-    signs = F.when(x.isin(BULLETS), to("bullet", F.lit(None))).when(x.isin(DASHES), to("dash", F.lit(None))).when(outline, to("outline", F.lit(None)))
-    closed = (
-        F.when(is_number & (raised | suffix.rlike("^[a-z]{1,2}$")), F.struct(F.when(closing == ")", "arabicParen").otherwise("arabicDot").alias("kind"), digits.cast("int").alias("ordinal")))
-        .when(upper_roman, to("roman", roman_value(body))).when(lower_roman & (closing == ")"), to("roman", roman_value(body)))
-        .when(few & (closing == ")"), to("letterParen", letter_ordinal(letters))).when(body.rlike("^[a-z]$") & (closing == "."), to("letterDot", letter_ordinal(body)))
-        .when(lower_roman, to("romanDot", roman_value(body)))
-    )
-    slashed = F.when(is_number & suffix.rlike("^[a-z]?$"), to("arabicSlash", digits)).when(body.rlike("^[a-z]{1,2}$"), to("letterSlash", letter_ordinal(body)))
-    found = F.coalesce(signs, F.when(closing.isin(")", "."), closed), F.when(closing == "/", slashed))
-    barred = bracketed & found["kind"].isin("bullet", "dash", "letterDot", "romanDot")
-    return F.when((label != "") & (rest != "") & found.isNotNull() & ~barred, F.struct(label.alias("label"), found["kind"].alias("kind"), found["ordinal"].alias("ordinal"), rest.alias("rest")))
+
+    def by_body(body: Column, closing: Column) -> Column:
+        digits = F.regexp_extract(body, "^[0-9]+", 0)
+        suffix = F.substr(body, F.length(digits) + 1)
+        is_number = F.length(digits).between(1, 3)
+        raised = F.translate(suffix, SUPERSCRIPTS, "") == ""
+        letters = F.regexp_replace(body, f"[{SUPERSCRIPTS}]+$", "")
+        roman = is_roman(body, 39)
+        upper_roman, lower_roman = (F.upper(body) == body) & roman, (F.lower(body) == body) & (F.length(body) > 1) & roman
+        closed = (
+            F.when(is_number & (raised | suffix.rlike("^[a-z]{1,2}$")), F.struct(F.when(closing == ")", "arabicParen").otherwise("arabicDot").alias("kind"), digits.cast("int").alias("ordinal")))
+            .when(upper_roman, to("roman", roman_value(body))).when(lower_roman & (closing == ")"), to("roman", roman_value(body)))
+            .when(letters.rlike("^[a-z]{1,2}$") & (closing == ")"), to("letterParen", letter_ordinal(letters))).when(body.rlike("^[a-z]$") & (closing == "."), to("letterDot", letter_ordinal(body)))
+            .when(lower_roman, to("romanDot", roman_value(body)))
+        )
+        slashed = F.when(is_number & suffix.rlike("^[a-z]?$"), to("arabicSlash", digits)).when(body.rlike("^[a-z]{1,2}$"), to("letterSlash", letter_ordinal(body)))
+        return F.when(closing.isin(")", "."), closed).when(closing == "/", slashed)
+
+    def kind_of(x: Column) -> Column:
+        steps = F.split(F.regexp_replace(x, r"\.$", ""), r"\.")
+        outline = (F.size(steps) > 1) & F.forall(steps, lambda s: s.rlike("^[0-9]{1,3}$"))
+        closing = F.when(x.rlike(r"[)./]$"), F.substring(x, -1, 1)).otherwise("")
+        body = F.substring(x, F.lit(1), F.length(x) - F.length(closing))
+        signs = F.when(x.isin(BULLETS), to("bullet", F.lit(None))).when(x.isin(DASHES), to("dash", F.lit(None))).when(outline, to("outline", F.lit(None)))
+        return F.coalesce(signs, F.when(closing != "", _let(body, lambda y: by_body(y, closing))))
+
+    def labelled(t: Column, label: Column) -> Column:
+        rest = F.trim(F.regexp_replace(F.substr(t, F.length(label) + 1), r"^\s+", ""))
+        bracketed = (F.length(label) > 1) & F.substring(label, 1, 1).isin("[", "<")
+
+        def settled(found: Column) -> Column:
+            barred = bracketed & found["kind"].isin("bullet", "dash", "letterDot", "romanDot")
+            return F.when((rest != "") & found.isNotNull() & ~barred, F.struct(label.alias("label"), found["kind"].alias("kind"), found["ordinal"].alias("ordinal"), rest.alias("rest")))
+
+        return F.when(label != "", _let(_let(F.when(bracketed, F.substr(label, F.lit(2))).otherwise(label), kind_of), settled))
+
+    return _let(F.trim(c), lambda t: _let(F.regexp_extract(t, r"^\S+", 0), lambda label: labelled(t, label)))
 
 
 def unit_normal(c: Column) -> Column:
