@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
+PART_BYTES = 128 << 20
+#: The planner gives the largest long for what it can't tell.
+UNKNOWN_BYTES = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def part_count(df: DataFrame) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def part_count(df: DataFrame, per_part: int = PART_BYTES) -> int:
+    """Number of shuffle partitions: the session's, and more where the tables that df reads hold over per_part bytes each.
+
+    Sizes are the planner's figures of the plan's leaves (files, checkpoints), known before anything runs; a leaf of
+    unknown size counts nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(s for s in sizes if s < UNKNOWN_BYTES) // per_part))
 
 
 def utf8(column: pa.Array) -> list[bytes]:
