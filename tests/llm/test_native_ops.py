@@ -6,7 +6,6 @@ import re
 from pyspark.sql import functions as F
 
 from quernstone.llm import fingerprints, licenses
-from quernstone.llm.common import checkpointed, part_count
 from tests.llm.test_text_ops import ODD, frame
 
 
@@ -198,13 +197,3 @@ def test_fingerprints_against_plain(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000 + i, t) for i, t in enumerate(["one", "a b c d e f", "x " * 30, "", None, " ".join(map(str, range(40)))])]
     df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string").na.fill(""), "text", "fp")
     assert {r.doc_id: r.fp for r in df.select("doc_id", "fp").collect()} == {i: plain_fingerprint(t) for i, t in rows}
-
-
-def test_partitions_grow_with_the_input(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert part_count(docs) == part_count(frame(spark, [])) == own
-    large = part_count(docs, 1 << 10)
-    assert large > own and 2 * large >= part_count(docs, 1 << 9) > large
-    assert part_count(docs.join(docs.select("doc_id"), "doc_id"), 1 << 10) <= 2 * large
-    assert own <= part_count(checkpointed(docs.select("doc_id")), 1 << 10) <= large
