@@ -12,6 +12,9 @@ with the heading, the table header regained where rows go on, and the notes that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,46 +75,95 @@ def rendered(heading: str, some: list[dict], notes: dict[int, str]) -> str:
 
 
 def split_unit(heading: str, whole: list[dict], notes: dict[int, str], limit: int) -> list[list[dict]]:
-    """The atoms of each part. Lengths are added up atom by atom and settled by rendering near the limit alone."""
-    if len(rendered(heading, whole, notes)) <= limit:
+    """The atoms of each part. Bounds of the rendered length are added up atom by atom; only what lies between them is rendered."""
+    shallowest = min((a["depth"] or 0 for a in whole if a["kind"] == "item"), default=0)
+
+    def most(a: dict) -> int:
+        n = len(a["text"]) + 2
+        if a["kind"] == "row":
+            n += len(a["header"] or "") + 1
+        elif a["kind"] == "item":
+            n += 2 * ((a["depth"] or 0) - shallowest) + len(a["label"] or "-") + 1
+        return n + sum(len(f"\n\n[^{k}]: ") + len(notes[k]) for k in [*(a["refs"] or []), a["number"]] if k in notes)
+
+    def fits(some: list[dict], least: int, upto: int) -> bool:
+        return upto <= limit or least <= limit and len(rendered(heading, some, notes)) <= limit
+
+    # a note's own text is rendered with its number alone
+    sizes = [(0 if a["kind"] == "note" else len(a["text"]), most(a)) for a in whole]
+    top = len(heading) + 2
+    if fits(whole, sum(n for n, _ in sizes), top + sum(m for _, m in sizes)):
         return [whole]
     parts: list[list[dict]] = []
     current: list[dict] = []
-    least = 0  # a lower bound of what is rendered so far
-    for a in whole:
-        size = len(a["text"])
-        if current and (least + size > limit or len(rendered(heading, [*current, a], notes)) > limit):
+    least, upto = 0, top
+    for a, (n, m) in zip(whole, sizes, strict=True):
+        if current and not fits([*current, a], least + n, upto + m):
             parts.append(current)
-            current, least = [], 0
+            current, least, upto = [], 0, top
         current.append(a)
-        least += size
+        least, upto = least + n, upto + m
     return [*parts, current]
 
 
+def unit_rows(doc_id: int, section_ord: int, heading: str | None, whole: list[dict], known: dict[int, str], limit: int) -> list[tuple]:
+    """The rows of one unit's parts. Its atoms are in order."""
+    parts = split_unit(heading or "", whole, known, limit)
+    out = []
+    for i, some in enumerate(parts):
+        pages = [a["page"] for a in some if a["page"] is not None]
+        content = rendered(heading or "", some, known)
+        label = [some[0]["label"]] if i and some and some[0]["kind"] == "item" and some[0]["label"] else []
+        cited = sorted(({n for a in some for n in a["refs"] or []} | {a["number"] for a in some if a["kind"] == "note"}) & {*known})
+        out.append((doc_id, section_ord, i + 1, len(parts), min(pages, default=None), max(pages, default=None), label, cited, len(content) > limit, content))
+    return out
+
+
 def chunk_units(units_atoms: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
-    """The parts of every unit. One unit is one task's group: a section of one document."""
+    """The parts of every unit. Notes and atoms are sorted by unit and read in one stream a task, so a task holds one unit
+    and a batch of parts at a time, and a unit costs no exchange of its own with Python."""
     key = ["doc_id", "section_ord"]
     names = [f.split()[0] for f in ATOM.split(", ")]
 
-    def run(key_: tuple[pa.Scalar, ...], t: pa.Table, n: pa.Table) -> pa.Table:
-        rows = sorted((r for r in t.to_pylist()), key=lambda r: (r["atom_ord"] is None, r["atom_ord"] or 0))
-        if not rows:
-            return pa.table({f.split()[0]: pa.array([]) for f in PART.split(", ")}).cast(SCHEMA)
-        known = dict(zip(n["number"].to_pylist(), n["text"].to_pylist(), strict=True))
-        heading, whole = rows[0]["heading"] or "", [r for r in rows if r["atom_ord"] is not None]
-        parts = split_unit(heading, whole, known, limit)
-        out = []
-        for i, some in enumerate(parts):
-            pages = [a["page"] for a in some if a["page"] is not None]
-            content = rendered(heading, some, known)
-            label = [some[0]["label"]] if i and some and some[0]["kind"] == "item" and some[0]["label"] else []
-            cited = sorted(({n for a in some for n in a["refs"] or []} | {a["number"] for a in some if a["kind"] == "note"}) & {*known})
-            out.append((key_[0].as_py(), key_[1].as_py(), i + 1, len(parts), min(pages, default=None), max(pages, default=None), label, cited, len(content) > limit, content))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
-
-    left = units_atoms.select(*names).toDF(*names)  # both sides may come from one table: fresh names keep them apart
-    right = notes.select(*key, "number", "text").toDF("n_doc", "n_section", "number", "text")
-    return left.groupBy(*key).cogroup(right.groupBy("n_doc", "n_section")).applyInArrow(run, PART)
-
-
+    columns = [*names, "is_note"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+        slices = (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024))
+        rows = (dict(zip(columns, r, strict=True)) for b in slices for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (doc_id, section_ord), unit in groupby(rows, key=lambda r: (r["doc_id"], r["section_ord"])):
+            known, whole, heading, found = {}, [], None, False
+            for r in unit:
+                if r["is_note"]:
+                    known[r["number"]] = r["text"]
+                    continue
+                if not found:
+                    heading, found = r["heading"], True
+                if r["atom_ord"] is not None:
+                    whole.append(r)
+            if not found:
+                continue
+            more = unit_rows(doc_id, section_ord, heading, whole, known, limit)
+            out += more
+            size += sum(len(x[-1]) for x in more)
+            if size > BATCH:
+                yield packed()
+                out, size = [], 0
+        if out:
+            yield packed()
+
+    atom = units_atoms.select(*names, F.lit(False).alias("is_note"))
+    types = dict(atom.dtypes)
+    note = notes.select(*[c if c in (*key, "number", "text") else F.lit(None).cast(types[c]).alias(c) for c in names], F.lit(True).alias("is_note"))
+    ordered = atom.unionByName(note).repartition(*key).sortWithinPartitions(*key, F.desc("is_note"), F.asc_nulls_last("atom_ord"))
+    return ordered.mapInArrow(run, PART)
+
+
+#: Characters of parts that are sent back at once.
+BATCH = 4_000_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("section_ord", pa.int64()), ("part", pa.int32()), ("part_count", pa.int32()), ("first_page", pa.int64()), ("last_page", pa.int64()), ("labels", pa.list_(pa.string())), ("notes", pa.list_(pa.int64())), ("exceeds_limit", pa.bool_()), ("content", pa.string())])

@@ -137,3 +137,19 @@ def test_chunk_file_and_stream(spark, sf, tmp_path):
         chunk_stream(spark, f"file://{tmp_path}/in", schema, f"file://{tmp_path}/out", f"file://{tmp_path}/state", ChunkOptions(500)).awaitTermination(120)
     got = spark.read.parquet(f"file://{tmp_path}/out")
     assert {r.chunk_id: (r.part, r.content, r.exceeds_limit) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_units_are_streamed_and_rarely_rendered(spark, monkeypatch):
+    plan = units.chunk_units(spark.createDataFrame([], f"{units.ATOM}"), spark.createDataFrame([], "doc_id long, section_ord long, number long, page long, text string"), 50)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+    rows = [(1, s, "H", o, "paragraph", "x" * 20, o, None, None, None, None, [1] if o == 2 else [], None) for s in (1, 2) for o in range(2500)] + [(1, 3, "only", *[None] * 10)]
+    notes = spark.createDataFrame([(1, 1, 1, 0, "one"), (1, 2, 1, 0, "two"), (1, 2, 9, 0, "not here"), (1, 4, 1, 0, "no unit")], "doc_id long, section_ord long, number long, page long, text string")
+    got = {(r.section_ord, r.part): r for r in units.chunk_units(spark.createDataFrame(rows, units.ATOM), notes, 50).collect()}
+    many = len(plain_split("H", [atom("paragraph", "x" * 20, refs=[1] if o == 2 else []) for o in range(2500)], {1: "one"}, 50))
+    assert len(got) == 2 * many + 1 and got[3, 1].content == "only" and got[1, 2].notes == got[2, 2].notes == [1]
+    assert got[1, 2].content.endswith("[^1]: one") and got[2, 2].content.endswith("[^1]: two") and got[2, many].part_count == got[2, 1].part_count == many
+    seen, plain = [], units.rendered
+    monkeypatch.setattr(units, "rendered", lambda *a: seen.append(1) or plain(*a))
+    units.split_unit("H", [atom("paragraph", "x" * 20) for _ in range(1000)], {}, 600)
+    assert len(seen) < 80
+    assert len(units.split_unit("", [atom("note", "n" * 90, number=1)] * 3, {1: "m"}, 50)) == 1
