@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +65,11 @@ def atx_headings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
 
 
 def phrases_in(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
-    """(key, word) for each phrase that stands in a text as whole words, both folded. Texts are folded once and their word
-    runs joined by equality; phrases come from code, so their table is small."""
-    plain = lambda c: F.filter(F.split(F.regexp_replace(T.fold(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    wanted = docs.sparkSession.createDataFrame([(p,) for p in phrases], "word string").withColumn("w", plain(F.col("word")))
-    wanted = wanted.select("word", F.array_join("w", " ").alias("gram"))
-    sizes = sorted({len([w for w in re.split(r"[\W_]+", p) if w]) for p in phrases})
-    words = docs.select(key, plain(F.col(text)).alias("w"))
-
-    def runs(n: int):
-        several = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return F.when(F.size("w") >= n, several).otherwise(F.array().cast("array<string>"))
-
-    grams = words.where("w IS NOT NULL").select(key, F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("gram"))
-    return grams.join(wanted, "gram").select(key, "word")
+    """(key, word) for each phrase that stands in a text as whole words, both folded. Texts are folded once, and each phrase
+    is looked for in them; phrases come from code, so there are few."""
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    plain = lambda c: F.translate(spaced(c), T.ACCENTED, T.PLAIN)
+    wanted = F.array(*[F.struct(F.lit(p).alias("word"), F.concat(F.lit(" "), F.nullif(F.trim(plain(F.lit(p))), F.lit("")), F.lit(" ")).alias("gram")) for p in phrases])
+    # the one-element array keeps the folded text from being made anew for each phrase
+    found = F.flatten(F.transform(F.array(plain(F.col(text))), lambda t: F.filter(wanted, lambda p: t.contains(p["gram"]))))
+    return docs.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("p")).select(key, "p.word")

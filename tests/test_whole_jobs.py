@@ -94,3 +94,11 @@ def test_word_coverage_sends_texts_and_not_words(spark):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(want, key=repr)
     below = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [doc_id")
     assert len(below) == 3 and not any("regexp_extract_all" in x.split("Join")[0].split("Aggregate")[0] for x in below[1:])
+
+
+def test_phrases_are_looked_for_without_word_runs(spark):
+    docs = spark.createDataFrame([(1, "a b token c"), (2, "!Token"), (3, "tokens"), (4, "ACCESS-token"), (5, "!?"), (6, None)], "doc_id long, text string")
+    found = corpus.phrases_in(docs, "doc_id", "text", ["token", "access token", "?!"])
+    assert sorted((x.doc_id, x.word) for x in found.collect()) == [(1, "token"), (2, "token"), (4, "access token"), (4, "token")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "Join" not in plan and plan.count("\\p{L}") == 1  # folded once
