@@ -71,11 +71,13 @@ def titles(lines: DataFrame, body_size: float, leading: float) -> DataFrame:
 
 
 def joined_lines(lines: Column) -> Column:
-    """Lines as one text: the hyphen at a line's end goes or stays by T.hyphen_join, other lines are set apart by a space."""
+    """Lines as one text: the hyphen at a line's end goes or stays by T.hyphen_join, other lines are set apart by a space.
+    The rule sees the last word alone, and only where that ends in a hyphen, so it doesn't go over the text again for each line."""
 
     def step(whole, line):
-        rule = T.hyphen_join(whole, line)
-        return F.when(whole == "", line).when(line == "", whole).when(rule == "REMOVE", F.concat(F.regexp_replace(whole, "-$", ""), line)).when(rule == "KEEP", F.concat(whole, line)).otherwise(F.concat_ws(" ", whole, line))
+        rule = F.array(T.hyphen_join(F.substring_index(whole, " ", -1), line))
+        joined = F.transform(rule, lambda r: F.when(r == "REMOVE", F.concat(F.left(whole, F.length(whole) - 1), line)).when(r == "KEEP", F.concat(whole, line)).otherwise(F.concat_ws(" ", whole, line)))
+        return F.when(whole == "", line).when(line == "", whole).when(~whole.endswith("-"), F.concat_ws(" ", whole, line)).otherwise(F.get(joined, F.lit(0)))
 
     return F.aggregate(F.transform(lines, lambda x: F.trim(x)), F.lit(""), step)
 

@@ -1,10 +1,11 @@
 """Cases that a filter or a cut in a query would hide."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quernstone import queries_tables
-from quernstone.operators import corpus, layout
+from quernstone.operators import corpus, layout, structure
 
 
 def test_manifest_order_numbers_every_row(spark, sf):
@@ -102,3 +103,10 @@ def test_phrases_are_looked_for_without_word_runs(spark):
     assert sorted((x.doc_id, x.word) for x in found.collect()) == [(1, "token"), (2, "token"), (4, "access token"), (4, "token")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "Join" not in plan and plan.count("\\p{L}") == 1  # folded once
+
+
+def test_joined_lines_go_over_the_last_word_alone(spark):
+    rows = [["a tele-", "fon b-", "ank x"], ["tele-", "ko-", "mu-", "nikacja"], ["www.a-", "b-", "c"], ["x/-", "y"], ["-", "a"], ["", "a-", "", "b"], ["PKO-", "owski"], ["a-\n", "b"], ["po-", "1"], ["see /x b-", "c"], [" a - ", "b"], []]
+    want = ["a telefon b-ank x", "telekomunikacja", "www.a-b-c", "x/-y", "- a", "a-b", "PKO-owski", "a-\n b", "po- 1", "see /x b-c", "a - b", ""]
+    made = spark.createDataFrame(list(enumerate(rows)), "i int, ls array<string>").select("i", structure.joined_lines(F.col("ls")).alias("t"))
+    assert [r.t for r in sorted(made.collect(), key=lambda r: r.i)] == want
