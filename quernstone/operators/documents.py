@@ -119,16 +119,16 @@ def resolved(texts: DataFrame, key: str, text: str, values: DataFrame) -> DataFr
     return grouped.select(key, F.array_join(F.transform("ps", lambda p: p["t"]), "").alias("resolved"), "unresolved")
 
 
-def outline_numbers(steps: DataFrame, key: str, order: str, depth: str, levels: int = 3) -> DataFrame:
-    """Adds number: dotted counters by depth; each counter starts again below a new parent."""
-    parts: list[str] = []
-    for level in range(1, levels + 1):
-        name = f"_n{level}"
-        line = Window.partitionBy(key, *parts).orderBy(order)
-        steps = steps.withColumn(name, F.sum(F.when(F.col(depth) == level, 1).otherwise(0)).over(line))
-        parts.append(name)
+def outline_numbers(steps: DataFrame, key: str, order: str | list[str], depth: str, levels: int = 3) -> DataFrame:
+    """Adds number: dotted counters by depth; each counter starts again below a new parent. Rows of one key and order are
+    counted one after the other. All counters run over one sort by key and order."""
+    line = Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, 0)
+    upto, parts = [f"_c{k}" for k in range(1, levels + 1)], [f"_n{k}" for k in range(1, levels + 1)]
+    steps = steps.withColumns({c: F.sum(F.when(F.col(depth) == k, 1).otherwise(0)).over(line) for k, c in enumerate(upto, 1)})
+    # what a level had counted when the last row above it came
+    steps = steps.withColumns({p: F.col(c) - F.coalesce(F.max(F.when(F.col(depth) < k, F.col(c))).over(line), F.lit(0)) for k, (c, p) in enumerate(zip(upto, parts, strict=True), 1)})
     shown = F.array_join(F.slice(F.array(*[F.col(p).cast("string") for p in parts]), F.lit(1), F.col(depth)), ".")
-    return steps.withColumn("number", shown).drop(*parts)
+    return steps.withColumn("number", shown).drop(*upto, *parts)
 
 
 def outside_groups(c: Column, depth: int = 4) -> Column:

@@ -194,9 +194,10 @@ def g29_random_streams(spark, sf):
         (SELECT count(*) FROM s x WHERE x.doc = s.doc AND x.ord <= s.ord AND x.depth = 2 AND x.ord > coalesce((SELECT max(ord) FROM s y WHERE y.doc = s.doc AND y.ord <= s.ord AND y.depth < 2), 0)) AS b,
         (SELECT count(*) FROM s x WHERE x.doc = s.doc AND x.ord <= s.ord AND x.depth = 3 AND x.ord > coalesce((SELECT max(ord) FROM s y WHERE y.doc = s.doc AND y.ord <= s.ord AND y.depth < 3), 0)) AS c FROM s)""")
 def g33_outline_numbers(spark, sf):
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), ord_.alias("ord"), (1 + F.col("l_partkey") % 3).cast("int").alias("depth"))
-    return D.outline_numbers(s, "doc", "ord", "depth")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    ord_ = F.row_number().over(Window.partitionBy("doc").orderBy(*order)).cast("long")
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), *order).withColumns({"ord": ord_, "depth": (1 + F.col("l_partkey") % 3).cast("int")})
+    return D.outline_numbers(s, "doc", order, "depth").select("doc", "ord", "depth", "number")
 
 
 LINE_ROWS = "(SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem)"

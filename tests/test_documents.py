@@ -25,3 +25,15 @@ def test_streams(spark):
         start = r.s & ((1 << 64) - 1)
         assert r.out == signed(plain(start, r.n))
         assert r.seed == signed(plain(start ^ D.fnv1a(f"{r.p}\x1f{r.i}"), 1))
+
+
+def test_outline_numbers_take_one_sort(spark):
+    depths = [2, 1, 3, 2, 3, 3, 1, 2, 2, 3, 1, 3, 1]
+    rows = spark.createDataFrame([(d, k, x) for d in (1, 2) for k, x in enumerate(depths)], "doc long, ord long, depth int")
+    made = D.outline_numbers(rows, "doc", "ord", "depth")
+    want, at = [], [0, 0, 0]
+    for x in depths:
+        at = [*at[: x - 1], at[x - 1] + 1, *[0] * (3 - x)]
+        want.append(".".join(map(str, at[:x])))
+    assert [r.number for r in sorted(made.collect(), key=lambda r: (r.doc, r.ord))] == want * 2
+    assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 1
