@@ -207,11 +207,12 @@ def list_tree(items: DataFrame, key: str, order: str, depth: str, label: str, le
     return items.withColumn("parent", F.array_max(F.transform("_open", lambda a: a["o"]))).withColumn("ancestors", F.transform("_open", lambda a: a["l"])).drop("_last", "_open")
 
 
-def words_in_cells(words: DataFrame, cells: DataFrame, page: str) -> DataFrame:
-    """Words with the cell of their page that holds their centre and baseline; half-open boxes, so no word has two."""
-    w, c = words.alias("w"), cells.alias("c")
-    inside = (F.col(f"w.{page}") == F.col(f"c.{page}")) & (F.col("w.centre") >= F.col("c.left")) & (F.col("w.centre") < F.col("c.right")) & (F.col("w.baseline") > F.col("c.top")) & (F.col("w.baseline") <= F.col("c.bottom"))
-    return w.join(c, inside).select("w.*", "c.row_no", "c.col_no")
+def words_in_cells(words: DataFrame, pages: DataFrame, page: str) -> DataFrame:
+    """Words with the cell of their page that holds their centre and baseline; half-open boxes, so no word has two.
+    pages: page, cells (an array of row_no, col_no, left, right, top, bottom), so that no cell is sorted or sent by itself."""
+    met = words.join(pages.select(page, "cells"), page).select(*[F.col(c) for c in words.columns], F.inline("cells"))
+    inside = (F.col("centre") >= F.col("left")) & (F.col("centre") < F.col("right")) & (F.col("baseline") > F.col("top")) & (F.col("baseline") <= F.col("bottom"))
+    return met.where(inside).select(*words.columns, "row_no", "col_no")
 
 
 def rendered_sections(blocks: DataFrame, key: str, order: str, level: str, heading: str, body: str) -> DataFrame:

@@ -204,8 +204,9 @@ LINE_ROWS = "(SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderk
 
 
 def line_rows(spark, sf):
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), ord_.alias("ord"), "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    ord_ = F.row_number().over(Window.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    own = ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", *own).select("doc", ord_.alias("ord"), *own)
 
 
 @query("SELECT page_id, CASE WHEN h IS NULL THEN 'read-error' WHEN trim(regexp_replace(h, '<[^>]*>|\\s+', ' ', 'g')) = '' THEN 'no-text-layer' END AS reason FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<p> <b></b>' || chr(10) || '</p>' ELSE html END AS h FROM pages)")
@@ -228,9 +229,11 @@ def a30_a43_b11_list_tree(spark, sf):
 def a51_words_in_cells(spark, sf):
     rows = line_rows(spark, sf)
     words = rows.where("l_quantity % 10 <> 0").select("doc", "ord", (F.col("l_partkey") % 100).cast("double").alias("centre"), F.col("l_quantity").alias("baseline"))
-    grid = F.explode(F.expr("flatten(transform(sequence(0L, 4L), r -> transform(sequence(0L, 2L), c -> struct(r AS row_no, c AS col_no))))")).alias("g")
-    cells = rows.select("doc").distinct().select("doc", grid).selectExpr("doc", "g.row_no", "g.col_no", "g.col_no * 25.0D AS left", "(g.col_no + 1) * 25.0D AS right", "g.row_no * 10.0D AS top", "(g.row_no + 1) * 10.0D AS bottom")
-    return D.words_in_cells(words, cells, "doc").select("doc", "ord", "row_no", "col_no")
+    names = ["row_no", "col_no", "left", "right", "top", "bottom"]
+    grid = F.array(*[F.struct(*[F.lit(v).cast("long" if k.endswith("_no") else "double").alias(k) for k, v in zip(names, (r, c, c * 25, (c + 1) * 25, r * 10, (r + 1) * 10), strict=True)]) for r in range(5) for c in range(3)])
+    # a page is the first row of a document: so it comes out in the order that the join needs, and cells are not sorted
+    pages = rows.where("ord = 1").select("doc", grid.alias("cells"))
+    return D.words_in_cells(words, pages, "doc").select("doc", "ord", "row_no", "col_no")
 
 
 @query(f"SELECT doc, string_agg(repeat('#', (1 + l_partkey % 3)::INT) || ' H' || ord || CASE WHEN l_returnflag = 'N' THEN '' ELSE chr(10) || chr(10) || 'b' || l_suppkey END, chr(10) || chr(10) ORDER BY ord) || chr(10) AS markdown FROM {LINE_ROWS} GROUP BY doc")

@@ -1,5 +1,7 @@
 """What SQL can't express of the document operators: the random streams, against known and plainly computed values."""
 
+import re
+
 from quernstone.operators import documents as D
 
 
@@ -37,3 +39,20 @@ def test_outline_numbers_take_one_sort(spark):
         want.append(".".join(map(str, at[:x])))
     assert [r.number for r in sorted(made.collect(), key=lambda r: (r.doc, r.ord))] == want * 2
     assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 1
+
+
+def test_cells_are_not_sorted(spark, sf):
+    import __spark_entry__ as entry
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["a51_words_in_cells"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    join = plan[plan.index("SortMergeJoin"):]
+    assert plan.index("Generate inline") < plan.index("SortMergeJoin") and "Generate" not in join and not re.search(r"Sort \[doc#\d+L ASC NULLS FIRST\]", join)
+    words = spark.createDataFrame([(1, 1, 5.0, 5.0), (1, 2, 10.0, 10.0), (1, 3, 0.0, 0.0), (2, 4, 5.0, 5.0), (None, 5, 5.0, 5.0)], "doc long, ord long, centre double, baseline double")
+    cells = "array<struct<row_no:long,col_no:long,left:double,right:double,top:double,bottom:double>>"
+    pages = spark.createDataFrame([(1, [(0, 0, 0.0, 10.0, 0.0, 10.0), (0, 1, 10.0, 20.0, 0.0, 10.0)]), (2, []), (3, None)], f"doc long, cells {cells}")
+    assert sorted((r.ord, r.row_no, r.col_no) for r in D.words_in_cells(words, pages, "doc").collect()) == [(1, 0, 0), (2, 0, 1)]
