@@ -46,6 +46,18 @@ def numbered(rows: DataFrame, rank: str, key: str, out: str, width: int = 65536)
     return cut.withColumn("_at", inside).join(ranges, [rank, "_range"]).withColumn(out, F.col("_at") + F.col("_before")).drop("_at", "_before", "_range")
 
 
+def among(rows: DataFrame, key: str, members: DataFrame, out: str) -> DataFrame:
+    """Rows with whether their whole-number key is in the one column of members. These travel and are hashed as bits, 64
+    neighbouring keys a row; rows pass by once, neither sorted nor held."""
+    block = lambda k: F.shiftright(k.cast("long"), 6)
+    place = lambda k: k.cast("long").bitwiseAND(F.lit(63)).cast("int")
+    own, k = F.col(key), F.col(members.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(k))
+    bits = members.where(k.isNotNull()).groupBy(block(k).alias("_block")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.join(bits.hint("shuffle_hash"), block(own) == F.col("_block"), "left")
+    return met.withColumn(out, F.coalesce(F.getbit("_bits", place(own)) == 1, F.lit(False))).drop("_block", "_bits")
+
+
 def atx_headings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, line_no, heading): headings of one to six # outside ``` and ~~~ fences, which the lines are folded over for."""
     fence, heading = r"^ {0,3}(`{3,}|~{3,})(.*)$", r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"

@@ -110,3 +110,23 @@ def test_joined_lines_go_over_the_last_word_alone(spark):
     want = ["a telefon b-ank x", "telekomunikacja", "www.a-b-c", "x/-y", "- a", "a-b", "PKO-owski", "a-\n b", "po- 1", "see /x b-c", "a - b", ""]
     made = spark.createDataFrame(list(enumerate(rows)), "i int, ls array<string>").select("i", structure.joined_lines(F.col("ls")).alias("t"))
     assert [r.t for r in sorted(made.collect(), key=lambda r: r.i)] == want
+
+
+def test_references_are_neither_sorted_nor_sent_one_by_one(spark, tmp_path):
+    import random
+
+    r, edges = random.Random(8), [-(1 << 63), -65, -64, -63, -1, 0, 1, 62, 63, 64, 65, 127, 128, (1 << 63) - 1]
+    keys = [*edges, None, None, 64, 64, *range(1000, 1300), *(r.getrandbits(64) - (1 << 63) for _ in range(300))]
+    items = [(k, r.choice(["R", "N", None])) for k in keys * 2] + [(77, "R"), (None, "R"), (64, "R"), (65, "N")]
+    tables = {"orders": ([(k,) for k in keys], "o_orderkey long"), "lineitem": (items, "l_orderkey long, l_returnflag string")}
+    got, want = against_sql(spark, tmp_path, "b14_b15_footnote_selection", tables)
+    assert got == want and len(got) == len(keys) and repr((None, "unreferenced")) in got
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["b14_b15_footnote_selection"](spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "Sort" not in plan and plan.count("FileScan") == 2 and "bit_or" in plan
+    near = corpus.among(spark.range(640), "id", spark.range(0, 640, 3).toDF("m"), "third")
+    assert {x.id for x in near.where("third").collect()} == set(range(0, 640, 3)) and near.count() == 640
